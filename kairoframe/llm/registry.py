@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import bpe, exact_dedup, sharding
 
 QUERIES = {
+    "op3_bpe": bpe.op3_bpe,
     "op5_sharding": sharding.op5_sharding,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
