@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, sharding
+from . import bpe, exact_dedup, secret_scan, sharding
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op5_sharding": sharding.op5_sharding,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op10_secret_scan": secret_scan.ORACLE,
 }
