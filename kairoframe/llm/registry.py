@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, secret_scan, sharding
+from . import bpe, exact_dedup, secret_scan, sharding, url_filter
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op5_sharding": sharding.op5_sharding,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_url_filter": url_filter.op7_url_filter,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
 }
