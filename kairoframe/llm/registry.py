@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, secret_scan, sharding, url_filter
+from . import bpe, exact_dedup, packing, secret_scan, sharding, url_filter
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
+    "op4_packing": packing.op4_packing,
     "op5_sharding": sharding.op5_sharding,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
