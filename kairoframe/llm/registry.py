@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, packing, secret_scan, sharding, url_filter
+from . import bpe, exact_dedup, langid, packing, secret_scan, sharding, topk_search, url_filter
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
@@ -11,11 +11,13 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_topk_search": topk_search.op8_topk_search,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
+    "op8_topk_search": topk_search.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
 }
