@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, packing, secret_scan, sharding, topk_search, url_filter
+from . import bpe, exact_dedup, langid, near_dedup, packing, secret_scan, sharding, topk_search, url_filter
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_language_id": langid.op2_language_id,
     "op3_bpe": bpe.op3_bpe,
     "op4_packing": packing.op4_packing,
