@@ -171,10 +171,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     Null and empty texts and texts without a letter are ``und`` with score 0 and rejected, and so
     is every text if there was nothing to learn from. Repeated rows are judged alike; no rows give
-    none. Input columns named like the three new ones would clash and are refused.
+    none. Input columns named like the three new ones are replaced.
     """
-    if clash := {"lang_pred", "score", "rejected"} & set(docs.columns):
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    docs = docs.drop("lang_pred", "score", "rejected")
     names = [*docs.columns, "lang_pred", "score", "rejected"]
     at = docs.columns.index(text_col)
 

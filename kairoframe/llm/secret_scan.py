@@ -175,11 +175,10 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     the rule's place k; code points, e exclusive.
 
     Null and empty texts have no spans; repeated rows and null ids are scanned like any other; ties
-    in start go by the rule's place; no rows give none. Columns named ``__key``, ``__mask`` or
-    ``secret_spans`` in the input would clash and are refused.
+    in start go by the rule's place; no rows give none. Input columns named ``secret_spans``,
+    ``__key`` or ``__mask`` are replaced or left out.
     """
-    if clash := {"__key", "__mask", "secret_spans"} & set(docs.columns):
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    docs = docs.drop("secret_spans", "__key", "__mask")
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = [r for r in rules if queries[r.kind]]
     grams = sorted({g for r in indexed for clause in queries[r.kind] for s in clause for g in s})
