@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, near_dedup, packing, secret_scan, sharding, topk_search, url_filter
+from . import bpe, exact_dedup, langid, near_dedup, packing, secret_scan, sharding, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_topk_search": topk_search.op8_topk_search,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
