@@ -22,6 +22,7 @@ import numpy as np
 
 SYMBOLS = 257  # 0 ends a string, 1 to 256 are bytes
 MEMORY = 64 << 20
+JOINED = 1 << 20
 
 
 class Store:
@@ -74,15 +75,31 @@ class Queue:
         self.used = 0
 
     def take(self, symbol: int, back: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All batches of a symbol, first come first or last; the list is empty afterwards."""
+        """All batches of a symbol, first come first or last, small ones joined up to ``JOINED``
+        entries; the list is empty afterwards."""
         batches, self.lists[symbol] = self.lists[symbol], []
+        held: list = []
+        size = 0
         for b in reversed(batches) if back else batches:
             if isinstance(b, str):
                 with open(b, "rb") as f:
-                    yield np.load(f), np.load(f)
+                    b = np.load(f), np.load(f)
             else:
                 self.used -= b[0].nbytes + b[1].nbytes
-                yield b
+            if held and size + len(b[0]) > JOINED:
+                yield self._joined(held, back)
+                held, size = [], 0
+            held.append(b)
+            size += len(b[0])
+        if held:
+            yield self._joined(held, back)
+
+    @staticmethod
+    def _joined(held: list, back: bool) -> tuple[np.ndarray, np.ndarray]:
+        if len(held) == 1:
+            return held[0]
+        pos, lcp = zip(*(reversed(held) if back else held), strict=True)
+        return np.concatenate(pos), np.concatenate(lcp)
 
 
 def _first_of_group(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from .near_dedup import _BYTE, _mix, _power, whole_groups
 
 SIZE = 400
 GRAM = 32
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _U = np.uint64
 
 
