@@ -17,7 +17,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a missing lang is filled in."""
     model = langid.fit(docs.where(langid.learnable()))
     found = langid.identify(docs.select(F.struct("*").alias("row"), "text"), model).where("not rejected")
-    return found.select("row.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    new = {"lang": F.coalesce("row.lang", "lang_pred")}
+    return found.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
