@@ -156,37 +156,87 @@ def without_results(elems: DataFrame, answer: Callable[[DataFrame], DataFrame])
     return mixed.join(answer(mixed).select("qid").distinct(), "qid", "left_anti")
 
 
-#: Elements (count, ranges of frequency in percent), extents and places, in percent.
+_EIGHT = [(0, 100), (0, 0.0001), (0.0001, 0.001), (0.001, 0.01), (0.01, 0.1), (0.1, 1), (1, 10), (10, 100)]
+_SIX = [(0, 0.001), (0.001, 0.01), (0.01, 0.1), (0.1, 1), (1, 10), (10, 100)]
+_ANY = {"cnt": [1, 2, 3, 4, 5, 6, 7, 8, 9], "freqs": _EIGHT, "ext": _SIX, "skew": (0, 100)}
+#: Number of queries, numbers of elements, and ranges in percent of element
+#: frequencies, extents, places and, where given, results.
 WORKLOADS = {
-    "BASE": {"cnt": [3], "freqs": [(0, 100)], "ext": [(0.1, 0.1)], "skew": (0, 100)},
-    "LOW": {"cnt": [3], "freqs": [(0, 0.1), (0, 0.01), (0, 0.001)], "ext": [(0.1, 0.1)], "skew": (0, 100)},
-    "HIGH": {"cnt": [3], "freqs": [(10, 100), (1, 10), (0.1, 1)], "ext": [(0.1, 0.1)], "skew": (0, 100)},
-    "SHORT": {"cnt": [3], "freqs": [(0, 100)], "ext": [(0, 0.1)], "skew": (0, 100)},
-    "LONG": {"cnt": [3], "freqs": [(0, 100)], "ext": [(0.1, 10)], "skew": (0, 100)},
-    "FEW": {"cnt": [1, 2], "freqs": [(0, 100)], "ext": [(0.1, 0.1)], "skew": (0, 100)},
-    "MANY": {"cnt": [4, 5, 6, 7, 8, 9], "freqs": [(0, 100)], "ext": [(0.1, 0.1)], "skew": (0, 100)},
-    "HOT": {"cnt": [3], "freqs": [(0, 0.01)], "ext": [(5, 10)], "skew": (90, 100)},
-    "COLD": {"cnt": [3], "freqs": [(1, 100)], "ext": [(0, 0.01)], "skew": (0, 80)},
-    "SELECTIVE": {"cnt": [1], "freqs": [(0, 0.1)], "ext": [(0.1, 100)], "skew": (0, 100)},
-    "BROAD": {"cnt": [1, 2, 3], "freqs": [(0, 100)], "ext": [(0, 0.1)], "skew": (0, 100)},
+    "BASE": {"num": 100, "cnt": [3], "freqs": [(0, 100)], "ext": [(0.1, 0.1)], "skew": (0, 100)},
+    "LOW": {"num": 200, "cnt": [3], "freqs": [(0, 0.1), (0, 0.01), (0, 0.001)], "ext": [(0.1, 0.1)], "skew": (0, 100)},
+    "HIGH": {"num": 100, "cnt": [3], "freqs": [(10, 100), (1, 10), (0.1, 1)], "ext": [(0.1, 0.1)], "skew": (0, 100)},
+    "SHORT": {"num": 100, "cnt": [3], "freqs": [(0, 100)], "ext": [(0, 0.1)], "skew": (0, 100)},
+    "LONG": {"num": 100, "cnt": [3], "freqs": [(0, 100)], "ext": [(0.1, 10)], "skew": (0, 100)},
+    "FEW": {"num": 100, "cnt": [1, 2], "freqs": [(0, 100)], "ext": [(0.1, 0.1)], "skew": (0, 100)},
+    "MANY": {"num": 100, "cnt": [4, 5, 6, 7, 8, 9], "freqs": [(0, 100)], "ext": [(0.1, 0.1)], "skew": (0, 100)},
+    "RND": {"num": 700, **_ANY},
+    "RND2": {"num": 200, "cnt": _ANY["cnt"], "freqs": [(0, 100)], "ext": [(0, 100)], "skew": (0, 100)},
+    "NORESULTS": {"num": 30, "select": (0, 0), **_ANY},
+    "FEWRESULTS": {"num": 10, "select": (0, 0.001), **_ANY},
+    "MANYRESULTS": {"num": 10, "select": (5, 100), **_ANY},
+    "SELECTIVEWIDE": {"num": 100, "cnt": [3], "freqs": [(0, 0.01), (0, 0.001)], "ext": [(1, 10)], "skew": (0, 100)},
+    "BROADNARROW": {"num": 3, "cnt": [1, 2], "freqs": [(1, 100)], "ext": [(0, 0.01), (0, 0.001)], "skew": (0, 100)},
+    "HOT": {"num": 100, "cnt": [3], "freqs": [(0, 0.01)], "ext": [(5, 10)], "skew": (90, 100)},
+    "COLD": {"num": 3, "cnt": [3], "freqs": [(1, 100)], "ext": [(0, 0.01)], "skew": (0, 80)},
+    "SELECTIVE": {"num": 200, "cnt": [1], "freqs": [(0, 0.1)], "ext": [(0.1, 100)], "skew": (0, 100)},
+    "BROAD": {"num": 100, "cnt": [1, 2, 3], "freqs": [(0, 100)], "ext": [(0, 0.1)], "skew": (0, 100)},
+    "H1": {"num": 200, "cnt": [1, 2, 3], "freqs": [(0, 0.01)], "ext": [(5, 10)], "skew": (90, 100)},
+    "H2": {"num": 100, "cnt": [3], "freqs": [(0, 10)], "ext": [(0.1, 5)], "skew": (40, 70)},
+    "H3": {"num": 100, "cnt": [2, 3], "freqs": [(0, 100)], "ext": [(0.01, 0.01)], "skew": (0, 40)},
 }
 
 
-def named_workload(postings: DataFrame, name: str, every: int) -> DataFrame:
-    """A named pattern, or several joined by ``+`` that share the objects among them."""
+def drawn_queries(postings: DataFrame, pattern: dict, every: int, salt: int = 0) -> DataFrame:
+    """query_elems after a pattern, one query at most for every ``every``-th object. Each place for
+    an element draws a range of frequencies, and from it one of the object's elements not drawn
+    yet; an object that has none there, or does not reach the window of time, gives no query."""
+    freq = postings.groupBy("elem_id").agg(F.count("*").alias("freq"))
+    base = postings.agg(F.min("t_start").alias("g0"), F.max("t_end").alias("g1"), F.countDistinct("rec_id").alias("card"))
+    mine = postings.where(F.col("rec_id") % every == 0).join(freq, "elem_id").crossJoin(F.broadcast(base))  # one row
+    one = F.struct(draw(F.col("rec_id") * 31 + F.col("elem_id"), salt).alias("d"), "elem_id", (F.col("freq") * 100.0 / F.col("card")).alias("share"))
+    o = mine.groupBy("rec_id", "t_start", "t_end", "g0", "g1").agg(F.sort_array(F.collect_list(one)).alias("own"))
+    pick = lambda values, s: F.get(values, (draw(F.col("rec_id"), s + salt) % F.size(values)).cast("int"))
+    ranges = lambda r: F.array(*(F.struct(F.lit(float(a)).alias("lo"), F.lit(float(z)).alias("hi")) for a, z in r))
+    freqs = ranges(pattern["freqs"])
+
+    def place(acc: Column, j: Column) -> Column:
+        want = F.get(freqs, (draw(F.col("rec_id") * 16 + j, salt) % F.size(freqs)).cast("int"))
+        fit = F.filter("own", lambda e: (e["share"] > want["lo"]) & (e["share"] <= want["hi"]) & ~F.array_contains(acc, e["elem_id"]))
+        return F.when(F.size(fit) > 0, F.concat(acc, F.array(F.get(fit, 0)["elem_id"])))
+
+    o = o.withColumn("k", pick(F.array(*map(F.lit, pattern["cnt"])), 1)).where(F.col("k") <= F.size("own"))
+    o = o.withColumn("elems", F.aggregate(F.sequence(F.lit(1), F.col("k")), F.array().cast("array<bigint>"), place)).where("elems is not null")
+    width = (F.col("g1") - F.col("g0")).cast("double")
+    o = o.withColumn("x", pick(ranges(pattern["ext"]), 2))
+    lo, hi = F.floor(F.col("x.lo") / 100 * width), F.floor(F.col("x.hi") / 100 * width)
+    o = o.withColumn("ext", F.greatest(F.lit(1), lo + draw(F.col("rec_id"), 3 + salt) % (hi - lo + 1)).cast("long"))
+    w0, w1 = (F.col("g0") + F.floor(width * (x / 100)).cast("long") for x in pattern["skew"])
+    first = F.greatest(F.col("g0"), F.col("t_start") - F.col("ext"), w0 - F.col("ext"))
+    last = F.least(F.col("g1") - F.col("ext"), F.col("t_end"), w1)
+    o = o.where((F.col("t_end") >= w0) & (F.col("t_start") <= w1)).withColumn("s0", first).withColumn("s1", last).where("s0 <= s1")
+    start = F.col("s0") + draw(F.col("rec_id"), 4 + salt) % (F.col("s1") - F.col("s0") + 1)
+    return o.select(F.col("rec_id").alias("qid"), start.alias("q_start"), (start + F.col("ext")).alias("q_end"), F.explode("elems").alias("elem_id"), F.size("elems").cast("long").alias("n"))
+
+
+def named_workload(postings: DataFrame, name: str, every: int, answer: Callable[[DataFrame], DataFrame] | None = None, total: int | None = None) -> DataFrame:
+    """query_elems and ``workload`` of a named pattern, or of several joined by ``+`` that take
+    objects in turn. ``total`` queries are shared out by the patterns' numbers. Patterns with a
+    range of results need ``answer``, which runs a workload."""
     names = name.split("+")
-    base = postings.agg(F.min("t_start"), F.max("t_end")).first()
+    counts = allocate(total, [WORKLOADS[n]["num"] for n in names]) if total else [None] * len(names)
     out = None
-    for i, part in enumerate(names):
-        p = WORKLOADS[part]
-        extent = max(1, round((base[1] - base[0]) * (p["ext"][0][0] + p["ext"][0][1]) / 200))
-        skew = (p["skew"][0] / 100, p["skew"][1] / 100)
-        # All of the pattern's objects in one pass; the number of elements goes by the object.
-        own = queries_from_objects(postings, every, extent, max(p["cnt"]), p["freqs"], skew).where(F.expr(f"(qid div {every}) % {len(names)} = {i}"))
-        size = F.get(F.array(*map(F.lit, p["cnt"])), (draw(F.col("qid"), 11) % len(p["cnt"])).cast("int"))
-        place = F.row_number().over(Window.partitionBy("qid").orderBy(draw(F.col("qid") * 31 + F.col("elem_id")), "elem_id"))
-        own = own.withColumn("size", size).withColumn("i", place).where("i <= size").drop("size", "i")
-        own = own.withColumn("n", F.count("*").over(Window.partitionBy("qid"))).withColumn("workload", F.lit(part))
+    for i, (part, count) in enumerate(zip(names, counts, strict=True)):
+        pattern = WORKLOADS[part]
+        turn = F.expr(f"(rec_id div {every}) % {len(names)} = {i}")
+        own = drawn_queries(postings, pattern, every, 20 * i).join(postings.select("rec_id").distinct().where(turn), F.col("qid") == F.col("rec_id"), "left_semi")
+        if "select" in pattern:
+            if answer is None:
+                raise ValueError(f"{part} needs a way to answer queries")
+            lo, hi = (x / 100 for x in pattern["select"])
+            own = without_results(own, answer) if hi == 0 else select_by_results(own, answer(own), postings.select("rec_id").distinct().count(), lo, hi)
+        if count is not None:
+            own = own.join(own.select("qid").distinct().orderBy("qid").limit(count), "qid", "left_semi")
+        own = own.withColumn("workload", F.lit(part))
         out = own if out is None else out.unionByName(own)
     return out
 

@@ -511,7 +511,16 @@ def gen_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("gen_named_workloads")
 @on("basket")
 def gen_named_workloads(p: DataFrame, q: DataFrame) -> DataFrame:
-    return generate.named_workload(p, "BASE+LONG+FEW", 150)
+    return generate.named_workload(p, "BASE+LONG+FEW+BROAD+RND2", 20)
+
+
+@add("gen_results_in_range")
+@on("session")
+def gen_results_in_range(p: DataFrame, q: DataFrame) -> DataFrame:
+    """Patterns that ask for few, many or no results, and how many they have."""
+    some = generate.named_workload(p, "FEWRESULTS+MANYRESULTS+NORESULTS", 3, lambda e: query.core(p, e))
+    counts = query.core(p, some).groupBy("qid").agg(F.count("*").alias("results"))
+    return some.select("workload", "qid").distinct().join(counts, "qid", "left").fillna(0, ["results"])
 
 
 # ---- skylines and scores, over a score table derived from orders and parts

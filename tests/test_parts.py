@@ -173,6 +173,26 @@ def test_generators(spark):
     assert generate.shuffled(elems).select("qid").distinct().count() == 30
 
 
+def test_every_named_workload(spark):
+    p = explode_objects(generate.objects(spark, 400, 20_000, 60, 5))
+    frequency = {r.elem_id: r.freq * 100 / 400 for r in stats.element_frequency(p).collect()}
+    answered = lambda e: query.core(p, e)
+    sizes = {}
+    for name, pattern in generate.WORKLOADS.items():
+        rows = generate.named_workload(p, name, 1, answered).collect()
+        sizes[name] = len(rows)
+        for qid in {r.qid for r in rows}:
+            own = [r for r in rows if r.qid == qid]
+            assert len(own) == own[0].n == len({r.elem_id for r in own}) and own[0].n in pattern["cnt"]
+            assert all(any(a < frequency[r.elem_id] <= z for a, z in pattern["freqs"]) for r in own)
+            assert own[0].q_start <= own[0].q_end
+    assert sizes["BASE"] and sizes["RND"] and sizes["FEW"] and sizes["NORESULTS"] and sizes["BROAD"]
+    base = generate.named_workload(p, "BASE+LONG", 1, total=30)
+    assert {r.workload: r["count"] for r in base.select("workload", "qid").distinct().groupBy("workload").count().collect()} == {"BASE": 15, "LONG": 15}
+    hits = answered(base.drop("workload")).where("qid = rec_id").count()
+    assert hits == 30  # the object that a query comes from is a result of it
+
+
 def test_throughput(spark):
     t = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, 2.0)], "qid long, seconds double")
     assert tuple(stats.throughput(t).first()) == (0.5, 2.0)
