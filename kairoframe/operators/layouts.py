@@ -79,6 +79,17 @@ def dynamic_levels(freq: Column, alpha: float, beta: float) -> Column:
     return F.greatest(F.lit(1), F.round(F.log10(freq / F.pow(F.lit(10.0), F.lit(alpha))) * beta)).cast("int")
 
 
+def hint_dynamic_bounds(postings: DataFrame, alpha: float, beta: float) -> DataFrame:
+    """Bounds by element: its own domain, and levels from its frequency."""
+    own = postings.groupBy("elem_id").agg(F.count("*").alias("freq"), F.min("t_start").alias("g0"), F.max("t_end").alias("g1"))
+    bits = F.length(F.conv((F.col("g1") - F.col("g0")).cast("string"), 10, 2))
+    return own.withColumn("m", dynamic_levels(F.col("freq"), alpha, beta)).withColumn("shift", F.greatest(F.lit(0), bits - F.col("m")).cast("int")).drop("freq")
+
+
+def _bounded(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    return rows.join(bounds, "elem_id") if "elem_id" in bounds.columns else _with_domain(rows, bounds)
+
+
 def _prefix(t: str) -> Column:
     return F.expr(f"shiftright(greatest(g0, least(g1, {t})) - g0, shift)")
 
@@ -87,7 +98,7 @@ def hint(postings: DataFrame, bounds: DataFrame) -> DataFrame:
     """postings + lvl, part, org, inside. On each level at most two parts, in closed form: of the
     prefixes rounded inwards, the first if odd and the last if even. org: the part of the start;
     inside: the part of the end."""
-    rows = _with_domain(postings, bounds).withColumn("a", _prefix("t_start")).withColumn("b", _prefix("t_end"))
+    rows = _bounded(postings, bounds).withColumn("a", _prefix("t_start")).withColumn("b", _prefix("t_end"))
     levels = rows.select("rec_id", "elem_id", "t_start", "t_end", "a", "b", F.explode(F.expr("sequence(0, m)")).alias("lvl"))
     size = F.expr("shiftleft(1L, lvl)")
     lo, hi = F.expr("(a + shiftleft(1L, lvl) - 1) div shiftleft(1L, lvl)"), F.expr("(b + 1) div shiftleft(1L, lvl) - 1")
@@ -100,7 +111,7 @@ def hint(postings: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def hint_query(layout: DataFrame, elems: DataFrame, bounds: DataFrame) -> DataFrame:
     """Replicas count only in the first part that a query touches on their level."""
-    q = _with_domain(elems, bounds).withColumn("qa", _prefix("q_start")).withColumn("qb", _prefix("q_end"))
+    q = _bounded(elems, bounds).withColumn("qa", _prefix("q_start")).withColumn("qb", _prefix("q_end"))
     q = q.select("qid", "q_start", "q_end", "elem_id", "n", "qa", "qb", F.explode(F.expr("sequence(0, m)")).alias("lvl"))
     first = F.expr("shiftright(qa, lvl)")
     q = q.select("qid", "q_start", "q_end", "elem_id", "n", "lvl", first.alias("q_first"), F.explode(F.sequence(first, F.expr("shiftright(qb, lvl)"))).alias("part"))

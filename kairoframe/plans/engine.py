@@ -64,10 +64,10 @@ def _sharding(args: list[str]) -> Path:
 
 @register("tif;hint")
 def _hint(args: list[str]) -> Path:
-    levels = int(float(args[4])) if args[3] == "static" else 8
+    numbers = [float(x) for x in args[4:]]
 
     def path(p: DataFrame, q: DataFrame) -> DataFrame:
-        bounds = layouts.hint_bounds(p, levels)
+        bounds = layouts.hint_bounds(p, int(numbers[0])) if args[3] == "static" else layouts.hint_dynamic_bounds(p, *numbers)
         return layouts.hint_query(layouts.hint(p, bounds), q, bounds)
 
     return path

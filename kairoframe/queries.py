@@ -258,6 +258,7 @@ CONFIGS = {
     "ensemble_hybrid": ("basket", '{"hybrid":"moveout-refine","fanout":[{"method":"tif;hint;mrg;static;6"},{"method":"tif;basic"}]}'),
     "ensemble_banded": ("session", '[{"band_range":"0-0.3","method":"tif;slicing;a;static;8"},{"band_range":"0.3-0.7","method":"tif;basic"},{"band_range":"0.7-1","method":"irhint;perf;5"}]'),
     "ensemble_sharding": ("session", '{"method":"tif;sharding;static;2"}'),
+    "ensemble_hint_dyn": ("basket", '{"method":"tif;hint;mrg;dyn;0.5;2.5"}'),
     "ensemble_slicing_dyn": ("session", '{"method":"tif;slicing;a;dyn;1.2;0.6"}'),
 }
 

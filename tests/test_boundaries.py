@@ -24,6 +24,7 @@ CONFIGS = [
     '{"method":"tif;slicing;b;dyn;0.3;0.9"}',
     '{"method":"tif;sharding;static;2"}',
     '{"method":"tif;hint;mrg;static;3"}',
+    '{"method":"tif;hint;mrg;dyn;0.2;3"}',
     '{"method":"irhint;perf;4"}',
     '{"refine":"elemfreq","fanout":[{"range":"0.5-1","method":"tif;basic"},{"range":"0-0.5","method":"irhint;perf;4"}]}',
     '{"split":"temporal","fanout":[{"range":"0-0.5","method":"tif;basic"},{"range":"0.5-1","method":"tif;basic"}]}',
