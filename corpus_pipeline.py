@@ -16,7 +16,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go (no letter, or a score under the calibrated least);
     a missing lang is filled in."""
     model = langid.fit(docs.where(langid.learnable()))
-    found = langid.identify(docs.select(F.struct("*").alias("row"), "text"), model).where("not rejected")
+    found = langid.identify(docs.select(F.struct("*").alias("row")), model, text_col="row.text").where("not rejected")
     new = {"lang": F.coalesce("row.lang", "lang_pred")}
     return found.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import pieces, table
 
 #: How the byte-level scheme splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -204,7 +204,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(vocabulary)
-        for batch in batches:
+        for batch in pieces(batches):
             texts, out = [t or "" for t in batch.column("text").to_pylist()], {n: [] for n in names[1:]}
             for ids, text in c.encode(texts):
                 back = c.decode(ids)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller slices, so that what Python makes of them stays small too."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; our own only where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -54,20 +63,21 @@ def components(scratch: Scratch, links: DataFrame, name: str = "cc", max_rounds:
     pair of spokes; minima are pre-aggregated before the shuffle. Links live in a written table
     per round. Null ends, self links and repeated links are ignored.
     """
+    def settled(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
+
     edges = (
         links.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
     edges, last = scratch.write(edges, f"{name}-0"), f"{name}-0"
-    for turn in range(1, max_rounds + 1):
+    before = settled(edges)
+    for turn in range(1, max_rounds + 1 if before[0] else 1):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: neighbours above u move to the minimum around u.
-        large = (
-            both.where("v > u").join(least, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         # Small star: u and its neighbours below u move to the minimum below u.
         small = (
@@ -76,16 +86,14 @@ def components(scratch: Scratch, links: DataFrame, name: str = "cc", max_rounds:
             .where("u <> v").distinct()
         )
         now = scratch.write(small, f"{name}-{turn}")
-        # Done when nothing moved: the link sets are equal.
-        moved = (
-            now.select("u", "v", F.lit(1).alias("s")).unionByName(edges.select("u", "v", F.lit(-1).alias("s")))
-            .groupBy("u", "v").agg(F.sum("s").alias("s")).where("s <> 0").limit(1).count()
-        )
+        after = settled(now)  # done when the link set is the same as before
         scratch.drop(last)
         edges, last = now, f"{name}-{turn}"
-        if not moved:
+        if after == before:
             break
+        before = after
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
@@ -167,7 +168,8 @@ def learnable(id_col: str = "doc_id"):
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns with lang_pred, score and rejected, from the text alone.
+    """The input's rows and columns with lang_pred, score and rejected, from the text alone, which
+    may be a field of a struct (``row.text``).
 
     Null and empty texts and texts without a letter are ``und`` with score 0 and rejected, and so
     is every text if there was nothing to learn from. Repeated rows are judged alike; no rows give
@@ -175,11 +177,15 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """
     docs = docs.drop("lang_pred", "score", "rejected")
     names = [*docs.columns, "lang_pred", "score", "rejected"]
-    at = docs.columns.index(text_col)
+    outer, *inner = text_col.split(".") if text_col not in docs.columns else [text_col]
+    at = docs.columns.index(outer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
+        for batch in pieces(batches):
+            column = batch.column(at)
+            for name in inner:
+                column = pc.struct_field(column, name)
+            texts = column.to_pylist()
             found = model.predict(texts) if model else [(UNKNOWN, 0.0, True)] * len(texts)
             lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]

@@ -8,9 +8,9 @@ than one common child in the mean, a pair survives any depth with a fixed chance
 trees take the miss rate to its fourth power. Small nodes are compared exhaustively, and what the
 signatures suggest is confirmed on full sets.
 
-Groups never become all their pairs. A node emits a spanning forest of its candidate pairs first;
-later rounds look only at pairs between parts that are not yet connected, more for each member in
-every round, until no untested candidate is left.
+Groups never become all their pairs. A node first emits a forest of clearly similar pairs, then, between parts not yet connected, a few for each member. Where members still have untested
+candidates, their full sets go to the node itself, which compares them exhaustively over its own
+inverted index and emits only links that join parts. So rows stay linear in the members.
 """
 
 from __future__ import annotations
@@ -28,11 +28,14 @@ from .common import Scratch, components, table
 
 WORDS = 5
 PERCENT = 85
-PLACES = 64
+PLACES = 24
+BINS = 256
+SIGMAS = 4.5
 TREES = 4
 SMALL = 256
 LEVELS = 4
-BLOCK = 2_048
+BLOCK = 4_096
+TIGHT = 0.6
 PIVOTS = 16
 BATCH_BYTES = 1 << 20
 
@@ -120,8 +123,29 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def sketch(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set a byte of the least hash in each of BINS ranges, 0 for an empty range."""
+    out = np.zeros((len(sets), BINS), np.uint8)
+    shift = _U(64 - (BINS - 1).bit_length())
+    for i, s in enumerate(sets):
+        if len(s):
+            bins = (s >> shift).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+            out[i, bins[first]] = _mix(s[first]) % _U(255) + _U(1)
+    return out
+
+
+def similar(sketches: np.ndarray, to: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity of rows to one, and whether it may be ``percent`` or more."""
+    both = ((sketches != 0) & (to != 0)).sum(1)
+    either = np.maximum((sketches != 0).sum(1) + (to != 0).sum() - both, 1)
+    share = ((sketches == to) & (to != 0)).sum(1) / either
+    j = percent / 100
+    return share, share >= j - SIGMAS * np.sqrt(j * (1 - j) / either) - 1e-9
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, digest, sig."""
+    """doc_id, n_shingles, digest, sig, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,16 +156,16 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
-                        part.column("text_hash"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * PLACES, pa.int32()), pa.array(sig.ravel())),
+                        pa.array([row.tobytes() for row in sketch(sets)], pa.binary()),
                     ],
-                    names=["doc_id", "text_hash", "n_shingles", "digest", "sig"],
+                    names=["doc_id", "n_shingles", "digest", "sig", "sketch"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).mapInArrow(
-        run, "doc_id long, text_hash long, n_shingles long, digest binary, sig array<int>"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        run, "doc_id long, n_shingles long, digest binary, sig array<int>, sketch binary"
     )
 
 
@@ -149,11 +173,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
 
 
 def nodes(scratch: Scratch, reps: DataFrame, trees: int = TREES, small: int = SMALL, levels: int = LEVELS, block: int = BLOCK) -> DataFrame:
-    """``(node, rep)`` of all nodes to compare, of 2 to ``small`` members, or to ``block`` with
-    pivots in the last level.
+    """``(node, rep)`` of all nodes to compare, of 2 to ``small`` members, or to ``block`` where a
+    node is tight, with pivots in the last level.
 
-    Larger nodes branch on. What is still large after ``levels`` minwise tokens agree is a tight
-    group: it is dealt into blocks by a hash, and the same ``PIVOTS`` members join every block.
+    Larger nodes branch on, unless one child takes most of a node that fits a block: its members
+    are alike, so more minwise tokens would not part them. What is larger than a block after
+    ``levels`` tokens agree is dealt into blocks by a hash, and the same ``PIVOTS`` members join
+    every block.
     """
     root = F.array(*(F.struct(F.lit(t).alias("tree"), F.lit(2 * t + j).alias("place")) for t in range(trees) for j in (0, 1)))
     now = reps.select("rep", "sig", F.explode(root).alias("r")).select(
@@ -163,25 +189,34 @@ def nodes(scratch: Scratch, reps: DataFrame, trees: int = TREES, small: int = SM
     for level in range(levels):
         now = scratch.write(now, f"level-{level}")
         sizes = now.groupBy("node").count().where("count > 1")
-        sized = scratch.write(now.join(sizes, "node"), f"sized-{level}")
-        scratch.drop(f"level-{level}")
+        sized = now.join(sizes, "node")
+        if level:
+            tight = sized.where(F.col("parent_count") <= block).groupBy("parent").agg(F.max(F.col("count") / F.col("parent_count")).alias("share")).where(F.col("share") >= TIGHT).select("parent")
+            tight = scratch.write(tight, f"tight-{level}")
+            done.append(now.where("first").join(tight, "parent").select(F.col("parent").alias("node"), "rep"))
+            sized = sized.join(tight, "parent", "left_anti")
+        sized = scratch.write(sized.select("node", "rep", "count"), f"sized-{level}")
         done.append(sized.where(F.col("count") <= small).select("node", "rep"))
         big = sized.where(F.col("count") > small)
         if not big.limit(1).count():
             break
         if level < levels - 1:
             places = F.array(F.pmod(F.xxhash64("node", F.lit(0)), F.lit(PLACES)), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PLACES)))
-            now = big.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", F.explode(F.array_distinct(places)).alias("place")).select(
-                "rep", F.xxhash64("node", "place", F.get("sig", F.col("place").cast("int"))).alias("node")
+            now = big.join(reps.select("rep", "sig"), "rep").select("node", "count", "rep", "sig", F.posexplode(F.array_distinct(places)).alias("nth", "place")).select(
+                "rep",
+                F.xxhash64("node", "place", F.get("sig", F.col("place").cast("int"))).alias("node"),
+                F.col("node").alias("parent"),
+                F.col("count").alias("parent_count"),
+                (F.col("nth") == 0).alias("first"),
             )
             continue
         done.append(big.where(F.col("count") <= block).select("node", "rep"))
-        tight = big.where(F.col("count") > block).withColumn("blocks", F.ceil(F.col("count") / block)).withColumn("mixed", F.xxhash64("rep", "node"))
+        rest = big.where(F.col("count") > block).withColumn("blocks", F.ceil(F.col("count") / block)).withColumn("mixed", F.xxhash64("rep", "node"))
         rank = F.row_number().over(Window.partitionBy("node").orderBy("mixed", "rep"))
-        pivots = tight.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        dealt = tight.withColumn("block", F.pmod("mixed", "blocks"))
-        tight = pivots.select("node", "block", "rep").unionByName(dealt.select("node", "block", "rep")).distinct()
-        done.append(tight.select(F.xxhash64("node", "block").alias("node"), "rep"))
+        pivots = rest.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        dealt = rest.withColumn("block", F.pmod("mixed", "blocks"))
+        rest = pivots.select("node", "block", "rep").unionByName(dealt.select("node", "block", "rep")).distinct()
+        done.append(rest.select(F.xxhash64("node", "block").alias("node"), "rep"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -205,58 +240,136 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def forest(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """A maximum spanning forest of the pairs with ``least`` equal places or more (Prim)."""
-    n = len(sig)
-    best, source = np.full(n, -1), np.zeros(n, int)
-    outside = np.ones(n, bool)
-    links, now = [], 0
-    for _ in range(n - 1):
-        outside[now] = False
-        same = (sig == sig[now]).sum(1)
-        better = outside & (same > best)
-        best[better], source[better] = same[better], now
-        best[~outside] = -1
-        now = int(best.argmax()) if best.max() >= 0 else int(outside.argmax())
-        if best[now] >= least:
-            links.append((int(source[now]), now))
-    return links
-
-
-def pairs_of_node(ids: np.ndarray, part: np.ndarray, sig: np.ndarray, refused: list, least: int, turn: int) -> Iterator[tuple[int, int]]:
-    if turn == 0:
-        for i, j in forest(sig, least):
-            yield int(ids[i]), int(ids[j])
-        return
-    if (part == part[0]).all():
+def by_node(group: pa.Table) -> Iterator[pa.Table]:
+    node = group.column("node").to_numpy()
+    cuts = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True]).tolist()
+    for a, z in itertools.pairwise(cuts):
+        yield group.slice(a, z - a)
+
+
+def forest(sketches: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect members by clearly similar pairs, each member found but once: only what
+    is not reached yet is compared, so that a tight node costs little more than its members."""
+    j, out, waiting = percent / 100, [], []
+    left = np.arange(len(sketches))
+    while len(left):
+        if waiting:
+            now = waiting.pop()
+        else:
+            now, left = int(left[0]), left[1:]
+        share, _ = similar(sketches[left], sketches[now], percent)
+        near = share >= j + (j * (1 - j) / BINS) ** 0.5
+        out += [(now, int(i)) for i in left[near]]
+        waiting += left[near].tolist()
+        left = left[~near]
+    return out
+
+
+def candidates(ids: np.ndarray, part: np.ndarray, sketches: np.ndarray, refused: list, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member outside the largest part its untested candidates of other parts, the
+    likeliest first; of two such members the one with the smaller id tells."""
+    kinds, count = np.unique(part, return_counts=True)
+    if len(kinds) == 1:
         return
-    for i in range(len(ids)):
-        same = (sig == sig[i]).sum(1)
-        may = np.flatnonzero((same >= least) & (part != part[i]) & (ids > ids[i]))
-        if len(may) and refused[i]:
-            may = may[~np.isin(ids[may], refused[i])]
-        for j in may[np.lexsort((ids[may], -same[may]))][: 4**turn]:
-            yield int(ids[i]), int(ids[j])
+    major = part == kinds[count.argmax()]
+    tested = {(int(a), b) for a, own in zip(ids, refused, strict=True) for b in own or ()}
+    for i in np.flatnonzero(~major).tolist():
+        other = np.flatnonzero((part != part[i]) & (major | (ids > ids[i])))
+        share, may = similar(sketches[other], sketches[i], percent)
+        other, share = other[may], share[may]
+        if tested and len(other):
+            me = int(ids[i])
+            fresh = np.array([(min(me, o), max(me, o)) not in tested for o in ids[other].tolist()])
+            other, share = other[fresh], share[fresh]
+        if len(other):
+            yield i, other[np.lexsort((ids[other], -share))]
+
 
+def _arrays(node: pa.Table):
+    raw = b"".join(node.column("sketch").to_pylist())
+    return node.column("rep").to_numpy(), np.frombuffer(raw, np.uint8).reshape(-1, BINS)
 
-def candidate_pairs(members: DataFrame, least: int, turn: int) -> DataFrame:
-    """``(a, b)`` with a < b from ``(node, rep, part, sig, refused)``."""
+
+def candidate_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` with a < b from ``(node, rep, sketch)``: each node's forest of clearly similar pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "node"):
-            node = group.column("node").to_numpy()
-            ids, part = group.column("rep").to_numpy(), group.column("part").to_numpy()
-            sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, PLACES)
-            refused = group.column("refused").to_pylist()
-            cuts = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
             found: set[tuple[int, int]] = set()
-            for a, z in itertools.pairwise(cuts.tolist()):
-                for i, j in pairs_of_node(ids[a:z], part[a:z], sig[a:z], refused[a:z], least, turn):
-                    found.add((min(i, j), max(i, j)))
+            for node in by_node(group):
+                ids, sk = _arrays(node)
+                found.update((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in forest(sk, percent))
             left, right = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    ordered = members.select("node", "rep", "part", "sig", "refused").repartition("node").sortWithinPartitions("node")
+    ordered = members.select("node", "rep", "sketch").repartition("node").sortWithinPartitions("node")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def open_members(members: DataFrame, percent: int) -> DataFrame:
+    """``(node, rep, part)`` of the members with an untested candidate, on either side of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, "node"):
+            for node in by_node(group):
+                ids, sk = _arrays(node)
+                part, refused = node.column("part").to_numpy(), node.column("refused").to_pylist()
+                keep = np.zeros(len(ids), bool)
+                for i, may in candidates(ids, part, sk, refused, percent):
+                    keep[i] = True
+                    keep[may] = True
+                if keep.any():
+                    own = node.select(["node", "rep", "part"]).filter(pa.array(keep)).combine_chunks()
+                    yield from own.to_batches()
+
+    ordered = members.select("node", "rep", "part", "sketch", "refused").repartition("node").sortWithinPartitions("node")
+    return ordered.mapInArrow(run, "node long, rep long, part long")
+
+
+def links_of_sets(sets: list[np.ndarray], part: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join parts, from all pairs of sets by their shared members: a spanning forest."""
+    size = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    until = np.r_[first[1:], len(flat)]
+    kinds = flat[first]
+    group = {int(p): int(p) for p in part}
+
+    def root(p: int) -> int:
+        while group[p] != p:
+            group[p] = p = group[group[p]]
+        return p
+
+    out = []
+    for i, own in enumerate(sets):
+        at = np.searchsorted(kinds, own)
+        n = until[at] - first[at]
+        rows = owner[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        both = np.bincount(rows, minlength=len(sets))
+        linked = (both > 0) & (100 * both >= percent * (size + size[i] - both)) & (part != part[i])
+        for j in np.flatnonzero(linked).tolist():
+            a, b = root(int(part[i])), root(int(part[j]))
+            if a != b:
+                group[max(a, b)] = min(a, b)
+                out.append((i, j))
+    return out
+
+
+def links_in_nodes(members: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """``(a, b)``: confirmed links between parts of ``(node, rep, part)``, a forest for each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, "node"):
+            for node in by_node(group):
+                ids, part = node.column("rep").to_numpy(), node.column("part").to_numpy()
+                links = links_of_sets(shingle_sets(node.column("text").to_pylist(), words), part, percent)
+                a = [int(min(ids[i], ids[j])) for i, j in links]
+                b = [int(max(ids[i], ids[j])) for i, j in links]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    ordered = members.join(texts.hint("merge"), "rep").select("node", "rep", "part", "text").repartition("node").sortWithinPartitions("node")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -274,8 +387,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
                     linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
+    # One plan for texts at every size: small runs are not to broadcast what large ones cannot.
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")).hint("merge")
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")).hint("merge")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
 
 
@@ -291,38 +405,30 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_c
     rows = scratch.write(sketches(docs, id_col, text_col, words), "sketches")
     reps = scratch.write(
         rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.first("sig").alias("sig"))
-        .select("digest", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("text_hash"), "sig"),
+        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")),
         "reps",
     )
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    j = percent / 100
-    least = int(PLACES * (j - 5 * (j * (1 - j) / PLACES) ** 0.5))
-    members = scratch.write(nodes(scratch, reps.dropDuplicates(["rep"]), trees), "nodes")
-    sig = reps.dropDuplicates(["rep"]).select("rep", "sig")
-    tested, parts, turn, n_links = None, None, 0, 0
-    while True:
-        if turn == 0:
-            now = members.join(sig, "rep").withColumn("part", F.col("rep")).withColumn("refused", F.lit(None).cast("array<bigint>"))
-        else:
-            labelled = members.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-            mixed = labelled.groupBy("node").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("node")
-            refused = tested.where("not linked").groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("refused"))
-            now = labelled.join(mixed, "node").join(sig, "rep").join(refused, "rep", "left")
-        pairs = scratch.write(candidate_pairs(now, least, turn), f"pairs-{turn}")
-        if not pairs.limit(1).count():
-            break
-        fresh = scratch.write(confirmed(pairs, texts, percent, words).groupBy("a", "b").agg(F.max("linked").alias("linked")), f"tested-{turn}")
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        grown = tested.where("linked").count()
-        if grown > n_links or parts is None:
-            parts = scratch.write(components(scratch, tested.where("linked").select("a", "b"), f"cc-{turn}"), f"parts-{turn}")
-            n_links = grown
-        turn += 1
-    if parts is None:
-        found = reps.select("digest", F.col("rep").alias("component"))
-    else:
-        found = reps.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    once = reps.dropDuplicates(["rep"])
+    members = scratch.write(nodes(scratch, once, trees), "nodes")
+    sk = once.select("rep", "sketch")
+    pairs = scratch.write(candidate_pairs(members.join(sk, "rep"), percent), "pairs")
+    tested = scratch.write(confirmed(pairs, texts, percent, words).groupBy("a", "b").agg(F.max("linked").alias("linked")), "tested")
+    parts = scratch.write(components(scratch, tested.where("linked").select("a", "b")), "parts")
+    # Members of nodes that hold more than one part.
+    now = members.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    mixed = now.groupBy("node").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("node")
+    refused = tested.where("not linked").groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("refused"))
+    still = now.join(mixed, "node").join(sk, "rep").join(refused, "rep", "left")
+    rest = scratch.write(open_members(still, percent), "open")
+    found = reps.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    if rest.limit(1).count():
+        part_of = parts.withColumnRenamed("component", "part")
+        links = links_in_nodes(rest, texts, percent, words)
+        links = links.join(part_of.withColumnRenamed("id", "a"), "a", "left").withColumn("a", F.coalesce("part", "a")).drop("part")
+        links = links.join(part_of.withColumnRenamed("id", "b"), "b", "left").withColumn("b", F.coalesce("part", "b")).drop("part")
+        joined = scratch.write(components(scratch, links, "more"), "joined").withColumnRenamed("component", "root")
+        found = found.join(joined.withColumnRenamed("id", "component"), "component", "left").select("digest", F.coalesce("root", "component").alias("component"))
     same = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return (
         rows.select("doc_id", "n_shingles", "digest").join(found, "digest", "left").withColumn("component_id", same)

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Vocabulary, default_path
-from .common import table
+from .common import pieces, table
 
 WINDOW = 1024
-DOCS_IN_BUCKET = 20_000
+DOCS_IN_BUCKET = 5_000
 END_ID = 0
 MOST_TRIPLES = 4_000
 
@@ -174,7 +174,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if vocabulary.name not in _tokens:
             _tokens[vocabulary.name] = Tokens(vocabulary)
         tokens = _tokens[vocabulary.name]
-        for batch in batches:
+        for batch in pieces(batches):
             keep, starts, lengths, crcs, sizes, rests, deal = [], [], [], [], [], [], []
             texts = batch.column("text")
             for i in range(len(batch)):

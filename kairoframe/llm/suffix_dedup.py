@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, pieces, table
 from .induced_sort import repeated_windows
 from .near_dedup import _BYTE, _mix, _power, whole_groups
 
@@ -91,7 +91,7 @@ def segment_rows(docs: DataFrame, size: int) -> DataFrame:
     comes again in its text has one row with all its starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             cols: list[list] = [[] for _ in range(7)]
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -119,7 +119,7 @@ def cut_segments(docs: DataFrame, size: int) -> DataFrame:
     """key, content, shard, bytes from ``docs(text, wanted)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 data = (text or "").encode()
@@ -188,7 +188,7 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     spans = found.select("k1", "k2", moved.alias("spans")).distinct().groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
             spans = batch.column("spans")
             for i, text in enumerate(batch.column("text").to_pylist()):
