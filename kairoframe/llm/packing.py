@@ -223,9 +223,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         )
 
     cut_schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, deal long, ids binary"
-    pieces = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(cut, cut_schema)
+    cut_docs = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(cut, cut_schema)
     bucket = F.pmod(F.xxhash64("doc_id", "deal"), F.lit(buckets))
-    return pieces.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(join, PIECE.format(kind=kind))
+    return cut_docs.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(join, PIECE.format(kind=kind))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
