@@ -11,6 +11,12 @@ signatures suggest is confirmed on full sets.
 Groups never become all their pairs. A node first emits a forest of clearly similar pairs, then, between parts not yet connected, a few for each member. Where members still have untested
 candidates, their full sets go to the node itself, which compares them exhaustively over its own
 inverted index and emits only links that join parts. So rows stay linear in the members.
+
+A node that branching leaves over a block is compared whole as well: after the forests of its
+blocks, every member outside its largest part meets every member of the node in some pair of
+blocks. Rows are linear in the members where most of them are one part; in a large group of
+documents that are alike but not linked they grow with the square of its blocks, as no part of
+that work may be left out.
 """
 
 from __future__ import annotations
@@ -172,15 +178,18 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
 # ---- trees
 
 
-def nodes(scratch: Scratch, reps: DataFrame, trees: int = TREES, small: int = SMALL, levels: int = LEVELS, block: int = BLOCK) -> DataFrame:
-    """``(node, rep)`` of all nodes to compare, of 2 to ``small`` members, or to ``block`` where a
-    node is tight, with pivots in the last level.
+def nodes(scratch: Scratch, reps: DataFrame, trees: int = TREES, small: int = SMALL, levels: int = LEVELS, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """``(node, rep)`` three times: all nodes to compare at once, of 2 to ``small`` members, or to
+    ``block`` where a node is tight or of the last level; the blocks of larger nodes of the last
+    level, to find their parts; and these larger nodes themselves, for ``crossed``. The last two
+    are None where there are none.
 
     Larger nodes branch on, unless one child takes most of a node that fits a block: its members
     are alike, so more minwise tokens would not part them. What is larger than a block after
     ``levels`` tokens agree is dealt into blocks by a hash, and the same ``PIVOTS`` members join
     every block.
     """
+    dealt = over = None
     root = F.array(*(F.struct(F.lit(t).alias("tree"), F.lit(2 * t + j).alias("place")) for t in range(trees) for j in (0, 1)))
     now = reps.select("rep", "sig", F.explode(root).alias("r")).select(
         "rep", F.xxhash64(F.col("r.tree"), F.col("r.place"), F.get("sig", F.col("r.place"))).alias("node")
@@ -211,16 +220,43 @@ def nodes(scratch: Scratch, reps: DataFrame, trees: int = TREES, small: int = SM
             )
             continue
         done.append(big.where(F.col("count") <= block).select("node", "rep"))
+        over = big.where(F.col("count") > block).select("node", "rep")
         rest = big.where(F.col("count") > block).withColumn("blocks", F.ceil(F.col("count") / block)).withColumn("mixed", F.xxhash64("rep", "node"))
         rank = F.row_number().over(Window.partitionBy("node").orderBy("mixed", "rep"))
         pivots = rest.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        dealt = rest.withColumn("block", F.pmod("mixed", "blocks"))
-        rest = pivots.select("node", "block", "rep").unionByName(dealt.select("node", "block", "rep")).distinct()
-        done.append(rest.select(F.xxhash64("node", "block").alias("node"), "rep"))
+        own = rest.withColumn("block", F.pmod("mixed", "blocks"))
+        rest = pivots.select("node", "block", "rep").unionByName(own.select("node", "block", "rep")).distinct()
+        dealt = rest.select(F.xxhash64("node", "block").alias("node"), "rep")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out, dealt, over
+
+
+def crossed(members: DataFrame, block: int) -> DataFrame:
+    """``(node, rep, part, probe)`` from ``(node, rep, part)`` of nodes over a block: pairs of half
+    blocks, so that every member outside a node's largest part meets all members of the node.
+
+    Members of the largest part are linked already, so they meet only the others. In a pair of two
+    half blocks, probes are compared with the rest; in a half block alone, all with all.
+    """
+    half = max(1, block // 2)
+    sizes = (
+        members.groupBy("node", "part").count().groupBy("node")
+        .agg(F.max(F.struct("count", "part")).alias("most"), F.sum("count").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
+        .select("node", F.col("most.part").alias("major"), F.ceil((F.col("n") - F.col("most.count")) / half).alias("minors"), F.ceil(F.col("most.count") / half).alias("majors"))
+    )
+    pair = lambda with_major, i, j, probe: f"named_struct('major', {with_major}, 'i', {i}, 'j', {j}, 'probe', {probe})"
+    minor = F.expr(
+        "concat("
+        f"transform(sequence(own, minors - 1), j -> {pair('false', 'own', 'j', 'true')}),"
+        f"transform(filter(sequence(0L, own), i -> i < own), i -> {pair('false', 'i', 'own', 'false')}),"
+        f"transform(sequence(0L, majors - 1), j -> {pair('true', 'own', 'j', 'true')}))"
+    )
+    major = F.expr(f"transform(sequence(0L, minors - 1), i -> {pair('true', 'i', 'own', 'false')})")
+    now = members.join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("rep", "node"), F.when(F.col("part") == F.col("major"), F.col("majors")).otherwise(F.col("minors"))))
+    now = now.withColumn("at", F.explode(F.when(F.col("part") == F.col("major"), major).otherwise(minor)))
+    return now.select(F.xxhash64("node", "at.major", "at.i", "at.j").alias("node"), "rep", "part", F.col("at.probe").alias("probe"))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -265,16 +301,17 @@ def forest(sketches: np.ndarray, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(ids: np.ndarray, part: np.ndarray, sketches: np.ndarray, refused: list, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+def candidates(ids: np.ndarray, part: np.ndarray, probe: np.ndarray, sketches: np.ndarray, refused: list, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each member outside the largest part its untested candidates of other parts, the
-    likeliest first; of two such members the one with the smaller id tells."""
+    likeliest first; of two such members the one with the smaller id tells. Where only some are
+    probes, the candidates of each probe among the others."""
     kinds, count = np.unique(part, return_counts=True)
     if len(kinds) == 1:
         return
-    major = part == kinds[count.argmax()]
+    major = part == kinds[count.argmax()] if probe.all() else ~probe
     tested = {(int(a), b) for a, own in zip(ids, refused, strict=True) for b in own or ()}
     for i in np.flatnonzero(~major).tolist():
-        other = np.flatnonzero((part != part[i]) & (major | (ids > ids[i])))
+        other = np.flatnonzero((part != part[i]) & (major | (ids > ids[i]) & probe.all()))
         share, may = similar(sketches[other], sketches[i], percent)
         other, share = other[may], share[may]
         if tested and len(other):
@@ -307,28 +344,31 @@ def candidate_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def open_members(members: DataFrame, percent: int) -> DataFrame:
-    """``(node, rep, part)`` of the members with an untested candidate, on either side of it."""
+    """``(node, rep, part, probe)`` of the members with an untested candidate, on either side of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "node"):
             for node in by_node(group):
                 ids, sk = _arrays(node)
                 part, refused = node.column("part").to_numpy(), node.column("refused").to_pylist()
+                probe = node.column("probe").to_numpy()
                 keep = np.zeros(len(ids), bool)
-                for i, may in candidates(ids, part, sk, refused, percent):
+                for i, may in candidates(ids, part, probe, sk, refused, percent):
                     keep[i] = True
                     keep[may] = True
                 if keep.any():
-                    own = node.select(["node", "rep", "part"]).filter(pa.array(keep)).combine_chunks()
+                    own = node.select(["node", "rep", "part", "probe"]).filter(pa.array(keep)).combine_chunks()
                     yield from own.to_batches()
 
-    ordered = members.select("node", "rep", "part", "sketch", "refused").repartition("node").sortWithinPartitions("node")
-    return ordered.mapInArrow(run, "node long, rep long, part long")
+    ordered = members.select("node", "rep", "part", "probe", "sketch", "refused").repartition("node").sortWithinPartitions("node")
+    return ordered.mapInArrow(run, "node long, rep long, part long, probe boolean")
 
 
-def links_of_sets(sets: list[np.ndarray], part: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join parts, from all pairs of sets by their shared members: a spanning forest."""
+def links_of_sets(sets: list[np.ndarray], part: np.ndarray, percent: int, probe: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join parts, from all pairs of sets by their shared members: a spanning forest.
+    Where only some are probes, from the pairs of a probe and another set."""
     size = np.array([len(s) for s in sets])
+    some = probe is not None and not probe.all()
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
@@ -344,11 +384,15 @@ def links_of_sets(sets: list[np.ndarray], part: np.ndarray, percent: int) -> lis
 
     out = []
     for i, own in enumerate(sets):
+        if some and not probe[i]:
+            continue
         at = np.searchsorted(kinds, own)
         n = until[at] - first[at]
         rows = owner[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         both = np.bincount(rows, minlength=len(sets))
         linked = (both > 0) & (100 * both >= percent * (size + size[i] - both)) & (part != part[i])
+        if some:
+            linked &= ~probe
         for j in np.flatnonzero(linked).tolist():
             a, b = root(int(part[i])), root(int(part[j]))
             if a != b:
@@ -358,18 +402,18 @@ def links_of_sets(sets: list[np.ndarray], part: np.ndarray, percent: int) -> lis
 
 
 def links_in_nodes(members: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """``(a, b)``: confirmed links between parts of ``(node, rep, part)``, a forest for each node."""
+    """``(a, b)``: confirmed links between parts of ``(node, rep, part, probe)``, a forest for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "node"):
             for node in by_node(group):
                 ids, part = node.column("rep").to_numpy(), node.column("part").to_numpy()
-                links = links_of_sets(shingle_sets(node.column("text").to_pylist(), words), part, percent)
+                links = links_of_sets(shingle_sets(node.column("text").to_pylist(), words), part, percent, node.column("probe").to_numpy())
                 a = [int(min(ids[i], ids[j])) for i, j in links]
                 b = [int(max(ids[i], ids[j])) for i, j in links]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    ordered = members.join(texts.hint("merge"), "rep").select("node", "rep", "part", "text").repartition("node").sortWithinPartitions("node")
+    ordered = members.join(texts.hint("merge"), "rep").select("node", "rep", "part", "probe", "text").repartition("node").sortWithinPartitions("node")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -410,16 +454,21 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_c
     )
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     once = reps.dropDuplicates(["rep"])
-    members = scratch.write(nodes(scratch, once, trees), "nodes")
+    members, dealt, over = nodes(scratch, once, trees)
+    members = scratch.write(members, "nodes")
     sk = once.select("rep", "sketch")
-    pairs = scratch.write(candidate_pairs(members.join(sk, "rep"), percent), "pairs")
+    pairs = scratch.write(candidate_pairs((members.unionByName(dealt) if dealt is not None else members).join(sk, "rep"), percent), "pairs")
     tested = scratch.write(confirmed(pairs, texts, percent, words).groupBy("a", "b").agg(F.max("linked").alias("linked")), "tested")
     parts = scratch.write(components(scratch, tested.where("linked").select("a", "b")), "parts")
     # Members of nodes that hold more than one part.
-    now = members.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    with_part = lambda df: df.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("part"))
+    now = with_part(members)
     mixed = now.groupBy("node").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("node")
+    now = now.join(mixed, "node").withColumn("probe", F.lit(True))
+    if over is not None:
+        now = now.unionByName(crossed(with_part(over), BLOCK))
     refused = tested.where("not linked").groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("refused"))
-    still = now.join(mixed, "node").join(sk, "rep").join(refused, "rep", "left")
+    still = now.join(sk, "rep").join(refused, "rep", "left")
     rest = scratch.write(open_members(still, percent), "open")
     found = reps.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     if rest.limit(1).count():

@@ -94,6 +94,38 @@ def test_near_in_tight_and_loose_groups(spark, monkeypatch):
     assert got == brute_components({i: shingles(t) for i, t in enumerate(texts)})
 
 
+def test_near_in_large_groups_under_the_threshold(spark, monkeypatch):
+    """A template group that no branching parts, with links that lead to no pivot."""
+    for name, value in (("SMALL", 4), ("BLOCK", 12), ("PIVOTS", 1)):
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(near_dedup.nodes, "__defaults__", (1, 4, 1, 12))
+    rng = random.Random(6)
+    base = [f"v{i}" for i in range(200)]
+    texts = []
+    for i in range(150):
+        w = [*base, *(f"own{i}-{j}" for j in range(22))]
+        texts += [" ".join(w), " ".join([*w[:-1], f"new{i}"])] if i % 3 == 0 else [" ".join(w)]
+    rng.shuffle(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_components({i: shingles(t) for i, t in enumerate(texts)})
+    assert len(set(want.values())) == 150
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(d, trees=4).collect()}
+    assert got == want
+
+
+def test_crossed_blocks_hold_every_open_pair_once(spark):
+    rows_ = [(1, i, 0 if i < 40 else i) for i in range(100)] + [(2, i, 0) for i in range(30)] + [(3, i, i) for i in range(50)]
+    met = collections.Counter()
+    groups = collections.defaultdict(list)
+    for r in near_dedup.crossed(spark.createDataFrame(rows_, "node long, rep long, part long"), 12).collect():
+        groups[r.node].append((r.rep, r.part, r.probe))
+    for g in groups.values():
+        whole = all(p for _, _, p in g)
+        met.update((min(a, b), max(a, b)) for a, x, p in g for b, y, q in g if x != y and (a < b if whole else p and not q))
+    want = collections.Counter((a, b) for node in (1, 3) for n, a, x in rows_ for m, b, y in rows_ if n == m == node and a < b and x != y)
+    assert met == want
+
+
 def test_links_of_sets():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 60, 300).astype(np.uint64)
