@@ -5,7 +5,9 @@ each window the leftmost least k-gram is its anchor. Windows of one anchor form
 either side of the middle, and a segment's key hashes the anchor with the half window of context
 that all its windows hold. A key with one segment repeats nothing. Copies of one segment are
 settled by a count, pre-aggregated, so that no group of copies gathers anywhere. Only segments
-that differ under one key are sorted: shards of them go through induced suffix sorting with
+that differ under one key are sorted. Where those of one key outgrow a shard, they are split: equal
+windows have their anchor at one distance, so half the distances have a longer context in common,
+and keys of that context part segments with other neighbours, down to single windows. Shards of them go through induced suffix sorting with
 common-prefix values, on disk-backed queues, and windows with a neighbour in common are marked.
 """
 
@@ -40,15 +42,22 @@ def _sliding(h: np.ndarray, w: int, f, fill: int) -> np.ndarray:
     return f(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def segments(data: bytes, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """``(key, content, start, windows)`` of a text's segments; a segment's bytes run from start to
-    start + windows + size - 1, and every window lies in exactly one. None under ``size`` bytes."""
+def _hashes(data: bytes) -> tuple:
+    """``(sums, down, value)``: running sums, and the hash of the bytes a to z with a salt."""
     n = len(data)
-    if n < size:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
     up, down = _power(n)
     sums = np.r_[_U(0), np.cumsum(_BYTE[np.frombuffer(data, np.uint8)] * up[:n])]
-    value = lambda a, z, salt: _mix((sums[z] - sums[a]) * down[a] + _U(salt))
+    return sums, down, lambda a, z, salt: _mix((sums[z] - sums[a]) * down[a] + _U(salt))
+
+
+def segments(data: bytes, size: int = SIZE, gram: int = GRAM, anchors: bool = False) -> tuple[np.ndarray, ...]:
+    """``(key, content, start, windows)`` of a text's segments; a segment's bytes run from start to
+    start + windows + size - 1, and every window lies in exactly one. None under ``size`` bytes.
+    With ``anchors`` also each one's anchor and whether it is the left one."""
+    n = len(data)
+    if n < size:
+        return tuple(np.zeros(0, np.int64) for _ in range(4 + 2 * anchors))
+    sums, down, value = _hashes(data)
     w = size - gram + 1
     grams = _mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
     least = _sliding(grams, w, np.minimum, (1 << 64) - 1)
@@ -77,7 +86,7 @@ def segments(data: bytes, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarra
         some = np.flatnonzero(hi > lo)
         p, s, k = at[some], lo[some], (hi - lo)[some]
         key = value(p - half, p + gram, 1) if left else value(p, p + size - half, 2)
-        out.append((key.view(np.int64), value(s, s + k + size - 1, 3).view(np.int64), s, k))
+        out.append((key.view(np.int64), value(s, s + k + size - 1, 3).view(np.int64), s, k, *((p, np.full(len(p), left)) if anchors else ())))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -130,6 +139,71 @@ def cut_segments(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, content long, bytes binary")
 
 
+def split_segments(docs: DataFrame, size: int, gram: int = GRAM) -> DataFrame:
+    """Both halves of segments, by the distance of a window's start to its anchor, from
+    ``docs(k1, k2, text, wanted)``. d1 and d2 are the least and the greatest distance under a key,
+    -1 for a whole segment; off is the first window's number in the whole segment."""
+    half = (size - gram) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            rows = []
+            docs_ = (batch.column(c).to_pylist() for c in ("k1", "k2", "text", "wanted"))
+            for k1, k2, text, wanted in zip(*docs_, strict=True):
+                data = (text or "").encode()
+                value = _hashes(data)[2]
+                _, _, start, _, anchor, left = segments(data, size, gram, anchors=True)
+                own = {a: (p, x) for a, p, x in zip(start.tolist(), anchor.tolist(), left.tolist(), strict=True)}
+                for w in wanted:
+                    p, is_left = own[w["start"] - w["off"]]
+                    d1, d2 = (w["d1"], w["d2"]) if w["d1"] >= 0 else (half, size - gram) if is_left else (0, half - 1)
+                    mid = (d1 + d2 + 1) // 2
+                    far = min(max(p - w["start"] - mid + 1, 0), w["windows"])
+                    for off, n, e1, e2 in ((0, far, mid, d2), (far, w["windows"] - far, d1, mid - 1)):
+                        if n:
+                            rows.append((w["root_key"], w["root_content"], w["off"] + off, k1, k2, w["start"] + off, n, e1, e2, p, value))
+            if rows:
+                root_key, root_content, off, k1, k2, start, n, e1, e2, p, value = zip(*rows, strict=True)
+                spots = list(zip(value, p, start, n, e1, e2, strict=True))
+                key = np.array([v(q - a, q - b + size, 10 + a * 1024 + b) for v, q, _, _, a, b in spots], np.uint64).view(np.int64)
+                content = np.array([v(s, s + k + size - 1, 3) for v, _, s, k, _, _ in spots], np.uint64).view(np.int64)
+                longs, ints = (root_key, root_content, k1, k2, key, content), (off, start, n, e1, e2)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x, pa.int64()) for x in longs), *(pa.array(x, pa.int32()) for x in ints)],
+                    names=["root_key", "root_content", "k1", "k2", "key", "content", "off", "start", "windows", "d1", "d2"],
+                )
+
+    return docs.mapInArrow(run, "root_key long, root_content long, k1 long, k2 long, key long, content long, off int, start int, windows int, d1 int, d2 int")
+
+
+def split_hot(scratch: Scratch, rows: DataFrame, texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` with every key over ``SHARD_BYTES`` split until it fits, and ``(root_key,
+    root_content, off, windows)`` of what turned out to be copies; None where no key was split."""
+    names = ["root_key", "root_content", "off", "k1", "k2", "start", "windows", "d1", "d2"]
+    fits, copies = [], []
+    for level in range(size.bit_length() + 1):
+        hot = rows.groupBy("key").agg(F.sum(F.col("windows") + size).alias("volume")).where(F.col("volume") > SHARD_BYTES).select("key")
+        hot = scratch.write(hot, f"hot-{level}")
+        if not hot.limit(1).count():
+            break
+        hot = F.broadcast(hot)  # at most one for each SHARD_BYTES of all rows
+        fits.append(rows.join(hot, "key", "left_anti"))
+        wanted = rows.join(hot, "key").groupBy("k1", "k2").agg(F.collect_list(F.struct("root_key", "root_content", "off", "start", "windows", "d1", "d2")).alias("wanted"))
+        halves = scratch.write(split_segments(texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted"), size), f"halves-{level}")
+        kinds = scratch.write(halves.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct(*names)).alias("at")), f"kinds-{level}")
+        copies.append(halves.join(kinds.where("n > 1").select("key", "content"), ["key", "content"]).select("root_key", "root_content", "off", "windows"))
+        several = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 and fewest = 1").select("key")
+        rows = scratch.write(kinds.join(several, "key").select("key", "content", "at.*"), f"split-{level}")
+    for r in fits:
+        rows = rows.unionByName(r)
+    if not copies:
+        return rows, None
+    out = copies[0]
+    for c in copies[1:]:
+        out = out.unionByName(c)
+    return rows, out
+
+
 def sort_shards(rows: DataFrame, size: int) -> DataFrame:
     """key, content, spans: of each segment the stretches of windows found elsewhere in its shard."""
 
@@ -170,13 +244,23 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     )
     several = distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 and fewest = 1").select("key")
     sort = distinct.join(several, "key")
-    volume = sort.agg(F.sum(F.col("at.windows") + size)).first()[0] or 0
-    shards = max(1, -(-volume // SHARD_BYTES))
-    wanted = sort.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("key", "content", F.col("at.start").alias("start"), F.col("at.windows").alias("windows"))).alias("wanted"))
+    none = F.lit(-1).alias("d1"), F.lit(-1).alias("d2")
+    sort = sort.select("key", "content", F.col("key").alias("root_key"), F.col("content").alias("root_content"), F.lit(0).alias("off"), "at.k1", "at.k2", "at.start", "at.windows", *none)
     unique = texts.select("k1", "k2", "text")
+    sort, copies = split_hot(scratch, scratch.write(sort, "sort"), unique, size)
+    volume = sort.agg(F.sum(F.col("windows") + size)).first()[0] or 0
+    shards = max(1, -(-volume // SHARD_BYTES))
+    wanted = sort.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "content", "start", "windows")).alias("wanted"))
     parts = cut_segments(unique.join(wanted, ["k1", "k2"]).select("text", "wanted"), size)
     sorted_ = scratch.write(sort_shards(parts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))), size), "sorted")
     some = sorted_.where(F.size("spans") > 0).groupBy("key", "content").agg(F.first("spans").alias("spans"))
+    if copies is not None:
+        # From halves back to whole segments.
+        some = some.join(sort.select("key", "content", "root_key", "root_content", "off"), ["key", "content"]).select(
+            "root_key", "root_content", F.expr("transform(spans, x -> named_struct('a', x.a + off, 'z', x.z + off))").alias("spans")
+        )
+        some = some.unionByName(copies.select("root_key", "root_content", F.expr("array(named_struct('a', off, 'z', off + windows))").alias("spans")))
+        some = some.groupBy(F.col("root_key").alias("key"), F.col("root_content").alias("content")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("z")))
     found = (
         shared.join(distinct.select("key", "content", F.col("n").alias("copies")), ["key", "content"])

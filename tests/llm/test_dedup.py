@@ -203,6 +203,30 @@ def test_suffix(spark):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and len(r.spans) == r.n_spans for r in got)
 
 
+def test_suffix_splits_a_hot_key(spark, monkeypatch):
+    """A passage of over 216 bytes with other neighbours on every copy outgrows a shard."""
+    rng = random.Random(12)
+    filler = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    hot, longer = filler(260), filler(330)
+    ends = [filler(75) for _ in range(4)]
+    texts = [filler(150) + hot + filler(150) for _ in range(60)]
+    texts += [filler(90 + i) + rng.choice(ends) + longer + rng.choice(ends) + filler(100) for i in range(40)]
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4_000)
+    given, inner = [], suffix_dedup.sort_shards
+
+    def watched(rows_, size):
+        given.append(rows_.groupBy("key").agg(F.sum(F.length("bytes")).alias("n")).agg(F.max("n")).first()[0])
+        return inner(rows_, size)
+
+    monkeypatch.setattr(suffix_dedup, "sort_shards", watched)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = suffix_dedup.suffix_dedup(d).collect()
+    assert (given[0] or 0) <= 4_000
+    want = brute_removed(texts, 400)
+    assert any(w[1] for w in want)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sorted(got)] == want
+
+
 def test_suffix_on_awkward_rows(spark):
     want = sorted(brute_removed([r[1] for r in rows()], 400))
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs(spark)).collect()) == want
