@@ -66,6 +66,25 @@ def rule_for(host: Column, path: Column, rules: Sequence[UrlRule]) -> Column:
     return F.coalesce(*fits, F.lit(None).cast("int"))
 
 
+def beside(url: Column, to: Column) -> Column:
+    """A path- or query-relative target against the page's url; null for empty ones, fragments and other schemes."""
+    site, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
+    path = F.when(path == "", F.lit("/")).otherwise(path)
+    rest = F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    parts = F.split(F.concat(F.regexp_replace(path, r"[^/]*$", ""), F.regexp_extract(to, r"^[^?#]*", 0)), "/")
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda own, x: F.when(x == "..", F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(1)))).when(x == ".", own).otherwise(F.concat(own, F.array(x))),
+    )
+    return (
+        F.when((to == "") | to.startswith("#") | to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (site == ""), F.lit(None).cast("string"))
+        .when(to.startswith("?"), F.concat(site, path, to))
+        .otherwise(F.concat(site, F.array_join(kept, "/"), rest))
+    )
+
+
 def link_targets(url: Column, html: Column) -> Column:
     """Where a page says it belongs: its canonical links and meta refreshes, made absolute."""
     tag = r"(?is)<(?:link|meta)\b[^>]*>"
@@ -81,6 +100,7 @@ def link_targets(url: Column, html: Column) -> Column:
             F.when(to.contains("://"), to)
             .when(to.startswith("//"), F.concat(scheme, to))
             .when(to.startswith("/"), F.concat(site, to))
+            .otherwise(beside(url, to))
         )
 
     may = F.coalesce(html, F.lit("")).rlike(r"(?i)canonical|http-equiv")
