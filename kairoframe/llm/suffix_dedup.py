@@ -3,12 +3,16 @@
 Windows of that size are dealt to shards by their content, so that equal windows always meet. In
 each window the leftmost least k-gram is its anchor. Windows of one anchor form two segments, on
 either side of the middle, and a segment's key hashes the anchor with the half window of context
-that all its windows hold. A key with one segment repeats nothing. Copies of one segment are
-settled by a count, pre-aggregated, so that no group of copies gathers anywhere. Only segments
-that differ under one key are sorted. Where those of one key outgrow a shard, they are split: equal
-windows have their anchor at one distance, so half the distances have a longer context in common,
-and keys of that context part segments with other neighbours, down to single windows. Shards of them go through induced suffix sorting with
-common-prefix values, on disk-backed queues, and windows with a neighbour in common are marked.
+that all its windows hold. Segments whose key comes once repeat nothing. Of segments that come more
+than once whole, one is kept with its count, pre-aggregated, so that no group of copies gathers
+anywhere. Segments that differ under one key are cut into pieces by the distance of their windows to
+the anchor: equal windows have one distance, so a piece's windows share a longer context, and the
+same two rules leave fewer. What is left goes to the shards.
+
+A shard is sorted by external induced sorting with common-prefix values on disk-backed queues, far
+beyond its share of memory; windows that have their whole length in common with a neighbour are
+marked. A piece's context is one symbol there, by comparison of its bytes. Pieces of one key that
+outgrow a shard are cut again, at last to single windows.
 """
 
 from __future__ import annotations
@@ -22,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, pieces, table
-from .induced_sort import repeated_windows
-from .near_dedup import _BYTE, _mix, _power, whole_groups
+from .induced_sort import Column, Shard
+from .near_dedup import _BYTE, _mix, _power
 
 SIZE = 400
 GRAM = 32
-SHARD_BYTES = 2 << 20
+PARTS = 8
+SHARD = 2 << 20  # symbols
+_TAG = [("key", np.int64), ("content", np.int64)]
 _U = np.uint64
 
 
@@ -50,13 +56,13 @@ def _hashes(data: bytes) -> tuple:
     return sums, down, lambda a, z, salt: _mix((sums[z] - sums[a]) * down[a] + _U(salt))
 
 
-def segments(data: bytes, size: int = SIZE, gram: int = GRAM, anchors: bool = False) -> tuple[np.ndarray, ...]:
-    """``(key, content, start, windows)`` of a text's segments; a segment's bytes run from start to
-    start + windows + size - 1, and every window lies in exactly one. None under ``size`` bytes.
-    With ``anchors`` also each one's anchor and whether it is the left one."""
+def segments(data: bytes, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """``(key, content, start, windows, lead)`` of a text's segments; a segment's bytes run from
+    start to start + windows + size - 1, its anchor stands ``lead`` bytes after the start, and every
+    window lies in exactly one. None under ``size`` bytes."""
     n = len(data)
     if n < size:
-        return tuple(np.zeros(0, np.int64) for _ in range(4 + 2 * anchors))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     sums, down, value = _hashes(data)
     w = size - gram + 1
     grams = _mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
@@ -86,7 +92,7 @@ def segments(data: bytes, size: int = SIZE, gram: int = GRAM, anchors: bool = Fa
         some = np.flatnonzero(hi > lo)
         p, s, k = at[some], lo[some], (hi - lo)[some]
         key = value(p - half, p + gram, 1) if left else value(p, p + size - half, 2)
-        out.append((key.view(np.int64), value(s, s + k + size - 1, 3).view(np.int64), s, k, *((p, np.full(len(p), left)) if anchors else ())))
+        out.append((key.view(np.int64), value(s, s + k + size - 1, 3).view(np.int64), s, k, p - s))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -96,131 +102,168 @@ def row_keys(id_col: str, text_col: str) -> list:
 
 
 def segment_rows(docs: DataFrame, size: int) -> DataFrame:
-    """key, content, windows, k1, k2, starts, n: the rows of ``docs(k1, k2, text)``; a segment that
+    """key, content, windows, lead, k1, k2, starts, n: the rows of ``docs(k1, k2, text)``; a segment that
     comes again in its text has one row with all its starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for i, text in enumerate(batch.column("text").to_pylist()):
-                key, content, start, windows = segments((text or "").encode(), size)
+                key, content, start, windows, lead = segments((text or "").encode(), size)
                 if not len(key):
                     continue
                 order = np.lexsort((start, content, key))
-                key, content, start, windows = key[order], content[order], start[order], windows[order]
+                key, content, start, windows, lead = (x[order] for x in (key, content, start, windows, lead))
                 first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])])
                 n = np.diff(np.r_[first, len(key)])
-                for c, v in zip(cols, (key[first], content[first], windows[first], np.full(len(first), k1[i]), np.full(len(first), k2[i]), start, n), strict=True):
+                for c, v in zip(cols, (key[first], content[first], windows[first], lead[first], np.full(len(first), k1[i]), np.full(len(first), k2[i]), start, n), strict=True):
                     c.append(v)
             if cols[0]:
-                key, content, windows, a, b, start, n = map(np.concatenate, cols)
+                key, content, windows, lead, a, b, start, n = map(np.concatenate, cols)
                 starts = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(start, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(content), pa.array(windows, pa.int32()), pa.array(a), pa.array(b), starts, pa.array(n, pa.int64())],
-                    names=["key", "content", "windows", "k1", "k2", "starts", "n"],
+                    [pa.array(key), pa.array(content), pa.array(windows, pa.int32()), pa.array(lead, pa.int32()), pa.array(a), pa.array(b), starts, pa.array(n, pa.int64())],
+                    names=["key", "content", "windows", "lead", "k1", "k2", "starts", "n"],
                 )
 
-    return docs.mapInArrow(run, "key long, content long, windows int, k1 long, k2 long, starts array<int>, n long")
+    return docs.mapInArrow(run, "key long, content long, windows int, lead int, k1 long, k2 long, starts array<int>, n long")
 
 
-def cut_segments(docs: DataFrame, size: int) -> DataFrame:
-    """key, content, shard, bytes from ``docs(text, wanted)``."""
+def _wanted(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, dict[str, np.ndarray]]]:
+    """Of each row its number, its text's bytes and the columns of its list ``wanted``."""
+    wanted, texts = batch.column("wanted"), batch.column("text").to_pylist()
+    for i, text in enumerate(texts):
+        own = wanted[i].values
+        yield i, (text or "").encode(), {f.name: own.field(f.name).to_numpy() for f in own.type}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            rows = []
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                data = (text or "").encode()
-                rows += [(w["key"], w["content"], data[w["start"] : w["start"] + w["windows"] + size - 1]) for w in wanted]
-            key, content, raw = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(content, pa.int64()), pa.array(raw, pa.binary())], names=["key", "content", "bytes"])
-
-    return docs.mapInArrow(run, "key long, content long, bytes binary")
 
-
-def split_segments(docs: DataFrame, size: int, gram: int = GRAM) -> DataFrame:
-    """Both halves of segments, by the distance of a window's start to its anchor, from
-    ``docs(k1, k2, text, wanted)``. d1 and d2 are the least and the greatest distance under a key,
-    -1 for a whole segment; off is the first window's number in the whole segment."""
-    half = (size - gram) // 2
+def split_segments(docs: DataFrame, size: int, parts: int) -> DataFrame:
+    """Segments in ``parts``, by the distance of a window's start to its anchor, from
+    ``docs(k1, k2, text, wanted)``. d1 and d2 are the least and the greatest distance that a key
+    stands for; off is the first window's number in the whole segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            rows = []
-            docs_ = (batch.column(c).to_pylist() for c in ("k1", "k2", "text", "wanted"))
-            for k1, k2, text, wanted in zip(*docs_, strict=True):
-                data = (text or "").encode()
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+            out: list[tuple] = []
+            for i, data, w in _wanted(batch):
                 value = _hashes(data)[2]
-                _, _, start, _, anchor, left = segments(data, size, gram, anchors=True)
-                own = {a: (p, x) for a, p, x in zip(start.tolist(), anchor.tolist(), left.tolist(), strict=True)}
-                for w in wanted:
-                    p, is_left = own[w["start"] - w["off"]]
-                    d1, d2 = (w["d1"], w["d2"]) if w["d1"] >= 0 else (half, size - gram) if is_left else (0, half - 1)
-                    mid = (d1 + d2 + 1) // 2
-                    far = min(max(p - w["start"] - mid + 1, 0), w["windows"])
-                    for off, n, e1, e2 in ((0, far, mid, d2), (far, w["windows"] - far, d1, mid - 1)):
-                        if n:
-                            rows.append((w["root_key"], w["root_content"], w["off"] + off, k1, k2, w["start"] + off, n, e1, e2, p, value))
-            if rows:
-                root_key, root_content, off, k1, k2, start, n, e1, e2, p, value = zip(*rows, strict=True)
-                spots = list(zip(value, p, start, n, e1, e2, strict=True))
-                key = np.array([v(q - a, q - b + size, 10 + a * 1024 + b) for v, q, _, _, a, b in spots], np.uint64).view(np.int64)
-                content = np.array([v(s, s + k + size - 1, 3) for v, _, s, k, _, _ in spots], np.uint64).view(np.int64)
-                longs, ints = (root_key, root_content, k1, k2, key, content), (off, start, n, e1, e2)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x, pa.int64()) for x in longs), *(pa.array(x, pa.int32()) for x in ints)],
-                    names=["root_key", "root_content", "k1", "k2", "key", "content", "off", "start", "windows", "d1", "d2"],
-                )
+                reach = (w["d2"] - w["d1"] + 1).astype(np.int64)
+                edges = w["d1"][:, None] + (reach[:, None] * np.arange(parts + 1)) // parts
+                lo, hi = edges[:, :-1], edges[:, 1:] - 1
+                lead, least = w["lead"].astype(np.int64), w["lead"].astype(np.int64) - w["windows"] + 1
+                top, low = np.minimum(hi, lead[:, None]), np.maximum(lo, least[:, None])
+                row, part = np.nonzero((top >= low) & (hi >= lo))
+                top, low, lo, hi = top[row, part], low[row, part], lo[row, part], hi[row, part]
+                anchor = (w["start"] + lead)[row]
+                start, windows = anchor - top, top - low + 1
+                key = value(anchor - lo, anchor - hi + size, (10 + lo * 1024 + hi).astype(np.uint64))
+                content = value(start, start + windows + size - 1, 3)
+                n = len(row)
+                off = w["off"][row] + lead[row] - top
+                out.append((w["root_key"][row], w["root_content"][row], off, np.full(n, k1[i]), np.full(n, k2[i]), key.view(np.int64), content.view(np.int64), start, windows, top, lo, hi))
+            if out:
+                names = ["root_key", "root_content", "off", "k1", "k2", "key", "content", "start", "windows", "lead", "d1", "d2"]
+                columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+                long = {"root_key", "root_content", "k1", "k2", "key", "content"}
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in long else pa.int32()) for n, c in zip(names, columns, strict=True)], names=names)
+
+    return docs.mapInArrow(
+        run, "root_key long, root_content long, off int, k1 long, k2 long, key long, content long, start int, windows int, lead int, d1 int, d2 int"
+    )
+
+
+_PIECE = ["root_key", "root_content", "off", "start", "windows", "lead", "d1", "d2"]
 
-    return docs.mapInArrow(run, "root_key long, root_content long, k1 long, k2 long, key long, content long, off int, start int, windows int, d1 int, d2 int")
 
+def _listed(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.groupBy("k1", "k2").agg(F.collect_list(F.struct(*names)).alias("wanted"))
 
-def split_hot(scratch: Scratch, rows: DataFrame, texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame | None]:
-    """``rows`` with every key over ``SHARD_BYTES`` split until it fits, and ``(root_key,
-    root_content, off, windows)`` of what turned out to be copies; None where no key was split."""
-    names = ["root_key", "root_content", "off", "k1", "k2", "start", "windows", "d1", "d2"]
-    fits, copies = [], []
+
+def split_alike(scratch: Scratch, rows: DataFrame, held: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """What is left of ``rows`` to sort, in pieces, and ``(root_key, root_content, off, windows)``
+    of the pieces that turned out to be copies. All rows are cut once; then keys over ``SHARD``
+    are, until they fit. ``held`` has the texts."""
+    names = ["root_key", "root_content", "off", "k1", "k2", "start", "windows", "lead", "d1", "d2"]
+    fits, copies, parts = [], [], PARTS
     for level in range(size.bit_length() + 1):
-        hot = rows.groupBy("key").agg(F.sum(F.col("windows") + size).alias("volume")).where(F.col("volume") > SHARD_BYTES).select("key")
-        hot = scratch.write(hot, f"hot-{level}")
-        if not hot.limit(1).count():
-            break
-        hot = F.broadcast(hot)  # at most one for each SHARD_BYTES of all rows
-        fits.append(rows.join(hot, "key", "left_anti"))
-        wanted = rows.join(hot, "key").groupBy("k1", "k2").agg(F.collect_list(F.struct("root_key", "root_content", "off", "start", "windows", "d1", "d2")).alias("wanted"))
-        halves = scratch.write(split_segments(texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted"), size), f"halves-{level}")
+        if level:
+            hot = rows.groupBy("key").agg(F.sum(F.col("windows") + F.col("d2") - F.col("d1") + 2).alias("volume")).where(F.col("volume") > SHARD).select("key")
+            hot = scratch.write(hot, f"hot-{level}")
+            if not hot.limit(1).count():
+                break
+            hot = F.broadcast(hot)  # at most one for each SHARD symbols of all rows
+            fits.append(rows.join(hot, "key", "left_anti"))
+            rows, parts = rows.join(hot, "key"), 2
+        halves = scratch.write(split_segments(held.join(_listed(rows, _PIECE), ["k1", "k2"]), size, parts), f"pieces-{level}")
         kinds = scratch.write(halves.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct(*names)).alias("at")), f"kinds-{level}")
         copies.append(halves.join(kinds.where("n > 1").select("key", "content"), ["key", "content"]).select("root_key", "root_content", "off", "windows"))
         several = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 and fewest = 1").select("key")
         rows = scratch.write(kinds.join(several, "key").select("key", "content", "at.*"), f"split-{level}")
+    out = copies[0]
     for r in fits:
         rows = rows.unionByName(r)
-    if not copies:
-        return rows, None
-    out = copies[0]
     for c in copies[1:]:
         out = out.unionByName(c)
     return rows, out
 
 
+def cut_pieces(docs: DataFrame, size: int) -> DataFrame:
+    """key, content, cut, width, bytes from ``docs(text, wanted)``: cut and width tell the context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            out: list[tuple] = []
+            raw: list[bytes] = []
+            for _, data, w in _wanted(batch):
+                raw += [data[a:z] for a, z in zip(w["start"].tolist(), (w["start"] + w["windows"] + size - 1).tolist(), strict=True)]
+                out.append((w["key"], w["content"], w["lead"] - w["d1"], size - (w["d2"] - w["d1"])))
+            key, content, cut, width = (np.concatenate(x) for x in zip(*out, strict=True))
+            columns = [pa.array(key), pa.array(content), pa.array(cut, pa.int32()), pa.array(width, pa.int32()), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "content", "cut", "width", "bytes"])
+
+    return docs.mapInArrow(run, "key long, content long, cut int, width int, bytes binary")
+
+
 def sort_shards(rows: DataFrame, size: int) -> DataFrame:
-    """key, content, spans: of each segment the stretches of windows found elsewhere in its shard."""
+    """key, content, spans: of each piece the stretches of windows found elsewhere in its shard."""
+    schema = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
+
+    def told(shard: Shard, tags: Column) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for block in shard.repeated():
+            own = tags.read(at, at + len(block))
+            at += len(block)
+            found = []
+            for places in block:
+                edge = np.flatnonzero(np.diff(places, prepend=-9, append=1 << 40) != 1)
+                found.append([{"a": int(places[x]), "z": int(places[y - 1]) + 1} for x, y in zip(edge[:-1], edge[1:], strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(own["key"].copy()), pa.array(own["content"].copy()), pa.array(found, schema)], names=["key", "content", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "shard"):
-            shard = group.column("shard").to_numpy()
-            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]).tolist()
+        now, shard, tags = None, None, None
+        for batch in pieces(batches):
+            number = batch.column("shard").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]).tolist()
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                part = group.slice(a, z - a)
-                found = []
-                for hit in repeated_windows(part.column("bytes").to_pylist(), size):
-                    edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-                    found.append([{"a": int(x), "z": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
-                spans = pa.array(found, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))
-                yield pa.Table.from_arrays([part.column("key"), part.column("content"), spans], names=["key", "content", "spans"]).combine_chunks().to_batches()[0]
-
-    ordered = rows.repartition("shard").sortWithinPartitions("shard")
+                if z == a:
+                    continue
+                if number[a] != now:
+                    if shard is not None:
+                        yield from told(shard, tags)
+                    now, shard = number[a], Shard(size)
+                    tags = Column(shard.store, _TAG)
+                part = batch.slice(a, z - a)
+                key = part.column("key").to_numpy()
+                rows_ = np.empty(len(part), tags.dtype)
+                rows_["key"], rows_["content"] = key, part.column("content").to_numpy()
+                tags.append(rows_)
+                shard.add(part.column("bytes").to_pylist(), key.tolist(), part.column("cut").to_pylist(), part.column("width").to_pylist())
+        if shard is not None:
+            yield from told(shard, tags)
+
+    ordered = rows.repartition("shard").sortWithinPartitions("shard", "key")
     return ordered.mapInArrow(run, "key long, content long, spans array<struct<a:int,z:int>>")
 
 
@@ -239,28 +282,28 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     shared = rows.groupBy("key").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("key")
     shared = scratch.write(rows.join(shared, "key"), "shared")
     scratch.drop("segments")
-    distinct = scratch.write(
-        shared.groupBy("key", "content").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", F.get("starts", F.lit(0)).alias("start"), "windows")).alias("at")), "distinct"
-    )
+    first = F.min(F.struct("k1", "k2", F.get("starts", F.lit(0)).alias("start"), "windows", "lead")).alias("at")
+    distinct = scratch.write(shared.groupBy("key", "content").agg(F.sum("n").alias("n"), first), "distinct")
     several = distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 and fewest = 1").select("key")
-    sort = distinct.join(several, "key")
-    none = F.lit(-1).alias("d1"), F.lit(-1).alias("d2")
-    sort = sort.select("key", "content", F.col("key").alias("root_key"), F.col("content").alias("root_content"), F.lit(0).alias("off"), "at.k1", "at.k2", "at.start", "at.windows", *none)
-    unique = texts.select("k1", "k2", "text")
-    sort, copies = split_hot(scratch, scratch.write(sort, "sort"), unique, size)
-    volume = sort.agg(F.sum(F.col("windows") + size)).first()[0] or 0
-    shards = max(1, -(-volume // SHARD_BYTES))
-    wanted = sort.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "content", "start", "windows")).alias("wanted"))
-    parts = cut_segments(unique.join(wanted, ["k1", "k2"]).select("text", "wanted"), size)
+    half, left = (size - GRAM) // 2, F.col("at.lead") >= (size - GRAM) // 2
+    alike = distinct.join(several, "key").select(
+        F.col("key").alias("root_key"), F.col("content").alias("root_content"), F.lit(0).alias("off"), "at.*",
+        F.when(left, half).otherwise(0).alias("d1"), F.when(left, size - GRAM).otherwise(half - 1).alias("d2"),
+    )
+    alike = scratch.write(alike, "alike")
+    held = scratch.write(texts.select("k1", "k2", "text").join(alike.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "held")
+    sort, copies = split_alike(scratch, alike, held, size)
+    volume = sort.agg(F.sum(F.col("windows") + F.col("d2") - F.col("d1") + 2)).first()[0] or 0
+    shards = max(1, -(-volume // SHARD))
+    parts = cut_pieces(held.join(_listed(sort, ["key", "content", "start", "windows", "lead", "d1", "d2"]), ["k1", "k2"]).select("text", "wanted"), size)
     sorted_ = scratch.write(sort_shards(parts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))), size), "sorted")
     some = sorted_.where(F.size("spans") > 0).groupBy("key", "content").agg(F.first("spans").alias("spans"))
-    if copies is not None:
-        # From halves back to whole segments.
-        some = some.join(sort.select("key", "content", "root_key", "root_content", "off"), ["key", "content"]).select(
-            "root_key", "root_content", F.expr("transform(spans, x -> named_struct('a', x.a + off, 'z', x.z + off))").alias("spans")
-        )
-        some = some.unionByName(copies.select("root_key", "root_content", F.expr("array(named_struct('a', off, 'z', off + windows))").alias("spans")))
-        some = some.groupBy(F.col("root_key").alias("key"), F.col("root_content").alias("content")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # From pieces back to whole segments.
+    some = some.join(sort.select("key", "content", "root_key", "root_content", "off"), ["key", "content"]).select(
+        "root_key", "root_content", F.expr("transform(spans, x -> named_struct('a', x.a + off, 'z', x.z + off))").alias("spans")
+    )
+    some = some.unionByName(copies.select("root_key", "root_content", F.expr("array(named_struct('a', off, 'z', off + windows))").alias("spans")))
+    some = some.groupBy(F.col("root_key").alias("key"), F.col("root_content").alias("content")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("z")))
     found = (
         shared.join(distinct.select("key", "content", F.col("n").alias("copies")), ["key", "content"])
