@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -24,26 +25,31 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; our own only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; our own only where that is unset and all runs on
+    one machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
     return root.rstrip("/")
 
 
 class Scratch:
     """Written tables that cut lineage: each is computed once, lives in the shared folder and
-    outlasts the loss of any executor. ``drop`` frees the ones that no later step reads."""
+    outlasts the loss of any executor. ``drop`` and ``keep`` free the ones that no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_root(spark)}/kairoframe/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("errorifexists").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -52,6 +58,10 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        self.drop(*sorted(self.names - set(names)))
 
 
 def components(scratch: Scratch, links: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:

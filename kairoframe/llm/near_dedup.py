@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, table
+from .common import Scratch, components, pieces, table
 
 WORDS = 5
 PERCENT = 85
@@ -150,8 +150,12 @@ def similar(sketches: np.ndarray, to: np.ndarray, percent: int) -> tuple[np.ndar
     return share, share >= j - SIGMAS * np.sqrt(j * (1 - j) / either) - 1e-9
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, n_shingles, digest, sig, sketch."""
+    """doc_id, text_key, n_shingles, digest, sig, sketch: text_key tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,16 +166,17 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("text_key"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * PLACES, pa.int32()), pa.array(sig.ravel())),
                         pa.array([row.tobytes() for row in sketch(sets)], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "sig", "sketch"],
+                    names=["doc_id", "text_key", "n_shingles", "digest", "sig", "sketch"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, sig array<int>, sketch binary"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key")).mapInArrow(
+        run, "doc_id long, text_key long, n_shingles long, digest binary, sig array<int>, sketch binary"
     )
 
 
@@ -186,8 +191,8 @@ def nodes(scratch: Scratch, reps: DataFrame, trees: int = TREES, small: int = SM
 
     Larger nodes branch on, unless one child takes most of a node that fits a block: its members
     are alike, so more minwise tokens would not part them. What is larger than a block after
-    ``levels`` tokens agree is dealt into blocks by a hash, and the same ``PIVOTS`` members join
-    every block.
+    ``levels`` tokens agree is dealt into blocks by a hash, and the same members, about ``PIVOTS``,
+    join every block.
     """
     dealt = over = None
     root = F.array(*(F.struct(F.lit(t).alias("tree"), F.lit(2 * t + j).alias("place")) for t in range(trees) for j in (0, 1)))
@@ -222,8 +227,7 @@ def nodes(scratch: Scratch, reps: DataFrame, trees: int = TREES, small: int = SM
         done.append(big.where(F.col("count") <= block).select("node", "rep"))
         over = big.where(F.col("count") > block).select("node", "rep")
         rest = big.where(F.col("count") > block).withColumn("blocks", F.ceil(F.col("count") / block)).withColumn("mixed", F.xxhash64("rep", "node"))
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("mixed", "rep"))
-        pivots = rest.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        pivots = rest.where(F.pmod(F.xxhash64("node", "rep"), F.col("count")) < PIVOTS).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
         own = rest.withColumn("block", F.pmod("mixed", "blocks"))
         rest = pivots.select("node", "block", "rep").unionByName(own.select("node", "block", "rep")).distinct()
         dealt = rest.select(F.xxhash64("node", "block").alias("node"), "rep")
@@ -404,14 +408,26 @@ def links_of_sets(sets: list[np.ndarray], part: np.ndarray, percent: int, probe:
 def links_in_nodes(members: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """``(a, b)``: confirmed links between parts of ``(node, rep, part, probe)``, a forest for each node."""
 
+    def told(ids: list, part: list, probe: list, sets: list) -> pa.RecordBatch:
+        links = links_of_sets(sets, np.array(part), percent, np.array(probe))
+        a = [min(ids[i], ids[j]) for i, j in links]
+        b = [max(ids[i], ids[j]) for i, j in links]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "node"):
-            for node in by_node(group):
-                ids, part = node.column("rep").to_numpy(), node.column("part").to_numpy()
-                links = links_of_sets(shingle_sets(node.column("text").to_pylist(), words), part, percent, node.column("probe").to_numpy())
-                a = [int(min(ids[i], ids[j])) for i, j in links]
-                b = [int(max(ids[i], ids[j])) for i, j in links]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        now, held = None, ([], [], [], [])  # of one node at a time, texts as sets
+        for batch in pieces(batches, 200):
+            node = batch.column("node").to_numpy()
+            own = [batch.column(c).to_pylist() for c in ("rep", "part", "probe")] + [shingle_sets(batch.column("text").to_pylist(), words)]
+            for a, z in itertools.pairwise(np.flatnonzero(np.r_[True, node[1:] != node[:-1], True]).tolist()):
+                if z > a and node[a] != now:
+                    if held[0]:
+                        yield told(*held)
+                    now, held = node[a], ([], [], [], [])
+                for into, values in zip(held, own, strict=True):
+                    into += values[a:z]
+        if held[0]:
+            yield told(*held)
 
     ordered = members.join(texts.hint("merge"), "rep").select("node", "rep", "part", "probe", "text").repartition("node").sortWithinPartitions("node")
     return ordered.mapInArrow(run, "a long, b long").distinct()
@@ -438,25 +454,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
-
-    Null, empty and blank texts have no shingles and are their own component. Texts with equal
-    sets are linked without a comparison. Rows that share an id count as one document of a
-    component; rows with a null id are linked with nothing and kept. Very long texts are sets like
-    any other. No rows give none; other columns are not read.
+    """One row per input row: doc_id, n_shingles, component_id, kept, text_key, stays.
+
+    Each row is a document; component_id is the smallest id of the rows it is linked with. kept:
+    that is its own id. stays: of each component the row with the smallest id, and of rows that
+    share it the one with the smallest text_key; rows that share both are not told apart. Null,
+    empty and blank texts have no shingles and are their own component. Texts with equal sets are
+    linked without a comparison. Rows with a null id are linked with nothing, kept and stay. Very
+    long texts are sets like any other. No rows give none; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     rows = scratch.write(sketches(docs, id_col, text_col, words), "sketches")
-    reps = scratch.write(
-        rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")),
-        "reps",
-    )
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    once = reps.dropDuplicates(["rep"])
-    members, dealt, over = nodes(scratch, once, trees)
+    told = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
+    told = told.agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    # A number of its own for each set; the written table holds it from here on.
+    reps = scratch.write(told.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    members, dealt, over = nodes(scratch, reps, trees)
     members = scratch.write(members, "nodes")
-    sk = once.select("rep", "sketch")
+    wanted = members.select("rep") if over is None else members.select("rep").unionByName(over.select("rep"))
+    wanted = reps.select("rep", "at.doc_id", "at.text_key").join(wanted.distinct(), "rep", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    texts = scratch.write(texts.hint("merge").join(wanted, ["doc_id", "text_key"]).select("rep", "text"), "texts")
+    sk = reps.select("rep", "sketch")
     pairs = scratch.write(candidate_pairs((members.unionByName(dealt) if dealt is not None else members).join(sk, "rep"), percent), "pairs")
     tested = scratch.write(confirmed(pairs, texts, percent, words).groupBy("a", "b").agg(F.max("linked").alias("linked")), "tested")
     parts = scratch.write(components(scratch, tested.where("linked").select("a", "b")), "parts")
@@ -470,20 +489,25 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_c
     refused = tested.where("not linked").groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("refused"))
     still = now.join(sk, "rep").join(refused, "rep", "left")
     rest = scratch.write(open_members(still, percent), "open")
-    found = reps.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     if rest.limit(1).count():
-        part_of = parts.withColumnRenamed("component", "part")
-        links = links_in_nodes(rest, texts, percent, words)
-        links = links.join(part_of.withColumnRenamed("id", "a"), "a", "left").withColumn("a", F.coalesce("part", "a")).drop("part")
-        links = links.join(part_of.withColumnRenamed("id", "b"), "b", "left").withColumn("b", F.coalesce("part", "b")).drop("part")
-        joined = scratch.write(components(scratch, links, "more"), "joined").withColumnRenamed("component", "root")
-        found = found.join(joined.withColumnRenamed("id", "component"), "component", "left").select("digest", F.coalesce("root", "component").alias("component"))
-    same = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return (
-        rows.select("doc_id", "n_shingles", "digest").join(found, "digest", "left").withColumn("component_id", same)
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        links = links_in_nodes(rest, texts, percent, words).unionByName(parts.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        parts = components(scratch, links, "more")
+    linked = parts.join(reps.select(F.col("rep").alias("id"), "at"), "id")
+    least = linked.groupBy("component").agg(F.min("at").alias("first"))
+    linked = linked.join(least, "component").select(F.col("id").alias("rep"), "first")
+    found = reps.select("digest", "rep", "at").join(linked, "rep", "left").select("digest", F.coalesce("first", "at").alias("first"))
+    found = scratch.write(found, "found")
+    scratch.keep("sketches", "found")
+    some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return rows.select("doc_id", "text_key", "n_shingles", "digest").join(found, "digest", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(some, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        (~some | (F.col("doc_id") == F.col("first.doc_id"))).alias("kept"),
+        "text_key",
+        (~some | (F.struct("doc_id", "text_key") == F.col("first"))).alias("stays"),
     )
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

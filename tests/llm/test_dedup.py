@@ -76,6 +76,17 @@ def test_near(spark):
     assert near_dedup.near_dedup(empty(spark)).collect() == []
 
 
+def test_near_with_ids_that_clash(spark):
+    a, b, u = ("".join(f"{c}{i} " for i in range(60)) for c in "abu")
+    rows_ = [(1, a), (1, b), (3, a + "end"), (7, b + "end"), (7, u), (8, u + "end"), (9, b), (9, b), (None, a)]
+    for part in (1, 5):
+        got = near_dedup.near_dedup(spark.createDataFrame(rows_, "doc_id long, text string").repartition(part)).collect()
+        assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [
+            (0, 0, True), (1, 1, True), (1, 1, True), (3, 1, False), (7, 1, False), (7, 7, True), (8, 7, False), (9, 1, False), (9, 1, False),
+        ]
+        assert sorted((r.doc_id or 0) for r in got if r.stays) == [0, 1, 1, 7]
+
+
 def test_near_in_tight_and_loose_groups(spark, monkeypatch):
     """Large groups of near copies around the threshold, with small nodes and blocks."""
     for name, value in (("SMALL", 6), ("BLOCK", 12), ("PIVOTS", 3)):
