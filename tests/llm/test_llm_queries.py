@@ -52,6 +52,19 @@ def test_pipeline(spark):
     assert {r.doc_id for r in out.collect()} == {r["doc_id"] for r in seen["secret_scan"]}
 
 
+def test_pipeline_drops_rows_and_not_ids(spark):
+    import corpus_pipeline as pipe
+
+    a, u = "".join(f"a{i} " for i in range(60)), "".join(f"u{i} " for i in range(60))
+    rows = [(3, a), (7, a + "end"), (7, u), (8, u + "x y"), (5, "twice"), (5, "twice"), (None, "lost"), (None, "lost"), (6, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    exact = pipe.exact_dedup(spark, docs, SF)
+    want = [(3, a), (7, a + "end"), (7, u), (8, u + "x y"), (5, "twice"), (None, "lost"), (2, "")]
+    assert sorted(map(tuple, exact.collect()), key=repr) == sorted(want, key=repr)
+    near = pipe.near_duplicates(spark, spark.createDataFrame(exact.collect(), docs.schema), SF)
+    assert sorted(map(tuple, near.collect()), key=repr) == sorted(((i, t) for i, t in want if t not in (a + "end", u + "x y")), key=repr)
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline as pipe
 
