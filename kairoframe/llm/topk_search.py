@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 K = 20
 ROWS_IN_GROUP = 8_192
@@ -25,6 +25,7 @@ QUERIES_IN_BLOCK = 64
 SHARES = 4
 IMPACT_STEP = 2
 NEVER = np.int64(-(1 << 62))
+_BLOCK = ["ids", "dims", "kind", "matrix"]
 
 
 class ImpactIndex:
@@ -110,41 +111,45 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     vectors under another id, all if there are fewer, ties to the smaller id.
 
     Rows that ``quantised`` leaves out take no part; repeated rows count each, and a query does not
-    meet rows of its own id; repeated queries give one list; other columns are not read; without
-    queries or vectors there are no rows. Queries go in blocks against groups of vectors.
+    meet rows of its own id; of queries that share an id the least vector asks; other columns are
+    not read; without queries or vectors there are no rows. A group's vectors go to ``SHARES`` tasks
+    once each, before the blocks of queries that each of them answers.
     """
     from_all = quantised(vectors, id_col, vector_col, scale)
-    from_queries = quantised(queries, id_col, vector_col, scale).dropDuplicates(["vec_id"])
+    from_queries = quantised(queries, id_col, vector_col, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
     groups = max(1, -(-from_all.count() // ROWS_IN_GROUP))
     n_blocks = max(1, -(-from_queries.count() // QUERIES_IN_BLOCK))
     share = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")
-    index = blocks(from_all, "group", groups).select("*", share)
-    asked = blocks(from_queries, "asked", n_blocks).select(
-        *(F.col(c).alias(f"q_{c}") for c in ("ids", "dims", "kind", "matrix")),
-        F.pmod("asked", F.lit(SHARES)).cast("int").alias("share"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"),
-    )
-    both = asked.join(index, ["group", "share"])
+    index = blocks(from_all, "group", groups).select("group", share, F.lit(-1).cast("long").alias("asked"), *_BLOCK)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group")
+    asked = blocks(from_queries, "asked", n_blocks).select(each, F.pmod("asked", F.lit(SHARES)).cast("int").alias("share"), "asked", *_BLOCK)
+    both = index.unionByName(asked).repartition("group", "share").sortWithinPartitions("group", "share", "asked")
+
+    def matrix(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids, dims, kind, raw = (row.column(c)[0].as_py() for c in _BLOCK)
+        return np.frombuffer(ids, "<i8"), np.frombuffer(raw, kind).reshape(-1, dims).astype(np.int64)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, found = None, None
-        for batch in batches:
-            for r in batch.to_pylist():
-                if held != r["group"]:
-                    m = np.frombuffer(r["matrix"], r["kind"]).reshape(-1, r["dims"]).astype(np.int64)
-                    held, found = r["group"], ImpactIndex(np.frombuffer(r["ids"], "<i8"), m)
-                q = np.frombuffer(r["q_matrix"], r["q_kind"]).reshape(-1, r["q_dims"]).astype(np.int64)
-                dims = found.matrix.shape[1]
-                q = np.pad(q, ((0, 0), (0, max(0, dims - q.shape[1]))))[:, :dims]
-                out = list(found.search(np.frombuffer(r["q_ids"], "<i8"), q, k))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]), pa.int64()),
-                        pa.array(np.concatenate([o[1] for o in out]), pa.int64()),
-                        pa.array(np.concatenate([o[2] for o in out]), pa.int64()),
-                    ],
-                    names=["query_id", "vec_id", "score"],
-                )
+        for row in pieces(batches, 1):
+            here = row.column("group")[0].as_py(), row.column("share")[0].as_py()
+            ids, q = matrix(row)
+            if row.column("asked")[0].as_py() < 0:
+                held, found = here, ImpactIndex(ids, q)
+                continue
+            if held != here:  # a group without vectors
+                continue
+            dims = found.matrix.shape[1]
+            q = np.pad(q, ((0, 0), (0, max(0, dims - q.shape[1]))))[:, :dims]
+            out = list(found.search(ids, q, k))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]), pa.int64()),
+                    pa.array(np.concatenate([o[1] for o in out]), pa.int64()),
+                    pa.array(np.concatenate([o[2] for o in out]), pa.int64()),
+                ],
+                names=["query_id", "vec_id", "score"],
+            )
 
     best = both.mapInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
