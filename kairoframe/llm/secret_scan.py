@@ -149,6 +149,18 @@ def candidates(index: DataFrame, rules: list[Rule], grams: list[str]) -> DataFra
     return index.select(F.explode(marked).alias("c")).select("c.*").groupBy("key").agg(F.bit_or("mask").alias("mask"))
 
 
+def may_hold(text: Column, rules: list[Rule]) -> Column:
+    """Whether some rule's trigram query holds for the text alone: no other row can be in its lists."""
+
+    def query(low: Column) -> Column:
+        both = lambda cs: functools.reduce(lambda a, b: a & b, cs)
+        either = lambda cs: functools.reduce(lambda a, b: a | b, cs)
+        return either([both([either([both([F.contains(low, F.lit(g)) for g in sorted(s)]) for s in sorted(c, key=sorted)]) for c in trigram_query(r.pattern)]) for r in rules])
+
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.get(F.transform(F.array(low), query), 0)
+
+
 # ---- matching
 
 
@@ -164,7 +176,19 @@ def matches(text: Column, rule: Rule) -> Column:
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["h"].alias("hit")))).alias("out"))
 
     pairs = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(p.alias("p"), h.alias("h")))
-    found = F.aggregate(pairs, begin, add, lambda acc: acc["out"])
+    # Runs of about the root of all matches, each from 0, then moved: no array grows by one match at
+    # a time for long.
+    run = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(hits))).cast("int"))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1)), run), lambda i: i <= F.size(hits))
+    runs = F.transform(starts, lambda i: F.aggregate(F.slice(pairs, i, run), begin, add))
+    offsets = F.aggregate(
+        runs,
+        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all")),
+        lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
+        lambda acc: acc["all"],
+    )
+    moved = lambda r, o: F.transform(r["out"], lambda x: F.struct((x["s"] + o).alias("s"), (x["e"] + o).alias("e"), x["hit"].alias("hit")))
+    found = F.flatten(F.zip_with(runs, offsets, moved))
     if rule.at_least:
         found = F.filter(found, lambda x: F.length(F.regexp_extract(x["hit"], rule.pattern, rule.group)) >= rule.at_least)
     return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
@@ -176,17 +200,20 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
     Null and empty texts have no spans; repeated rows and null ids are scanned like any other; ties
     in start go by the rule's place; no rows give none. Input columns named ``secret_spans``,
-    ``__key`` or ``__mask`` are replaced or left out.
+    ``__key``, ``__mask`` or ``__may`` are replaced or left out.
     """
-    docs = docs.drop("secret_spans", "__key", "__mask")
+    docs = docs.drop("secret_spans", "__key", "__mask", "__may")
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = [r for r in rules if queries[r.kind]]
     grams = sorted({g for r in indexed for clause in queries[r.kind] for s in clause for g in s})
     scratch = Scratch(docs.sparkSession, "secret-scan")
     index = scratch.write(trigram_index(docs, grams, id_col, text_col), "index")
     found = candidates(index, indexed, grams).select(F.col("key").alias("__key"), F.col("mask").alias("__mask"))
-    rows = docs.withColumn("__key", row_key(id_col, text_col)).join(found, "__key", "left")
     text = F.col(text_col)
+    # Only rows that can be listed go to meet the lists; the others have no mask.
+    listed_rows = docs.withColumn("__may", may_hold(text, indexed))
+    none = listed_rows.where("not __may").withColumn("__mask", F.lit(None).cast("int"))
+    rows = listed_rows.where("__may").withColumn("__key", row_key(id_col, text_col)).join(found, "__key", "left").unionByName(none, allowMissingColumns=True)
 
     def spans(k: int, rule: Rule) -> Column:
         may = text.rlike(rule.pattern)
@@ -196,7 +223,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
         return F.when(may, F.transform(matches(text, rule), lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))).otherwise(empty)
 
     every = F.array_sort(F.concat(*(spans(k, r) for k, r in enumerate(rules))))
-    return rows.withColumn("secret_spans", every).drop("__key", "__mask")
+    return rows.withColumn("secret_spans", every).drop("__key", "__mask", "__may")
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
