@@ -120,7 +120,7 @@ def url_filter(
     ``redirects(source_url, target_url)`` adds links to those found in the html. Two pages of one
     address (host, path and query) are aliases too, and so are pages that point at one address,
     whether or not it is a page here. verdict: the rule's; else block if a page of the class is
-    blocked by a rule; else allow. Null urls and urls without ``://`` have empty host and path, fit
+    blocked by a rule; else allow. alias_class: the least address of the class. Null urls and urls without ``://`` have empty host and path, fit
     no rule, and have no class; repeated rows are judged alike; other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "url-filter")
@@ -130,32 +130,35 @@ def url_filter(
         F.col(id_col).alias("page_id"),
         host_of(url).alias("host"),
         path_of(url).alias("path"),
-        F.xxhash64(address_of(url), F.lit(0)).alias("node"),
-        address_of(url).isNotNull().alias("has_node"),
-        F.transform(F.filter(F.transform(link_targets(url, html), address_of), lambda x: x.isNotNull()), lambda x: F.xxhash64(x, F.lit(0))).alias("targets"),
+        address_of(url).alias("address"),
+        F.array_distinct(F.filter(F.transform(link_targets(url, html), address_of), lambda x: x.isNotNull())).alias("targets"),
     ).withColumn("rule_no", rule_for(F.col("host"), F.col("path"), rules))
     judged = scratch.write(parsed, "pages")
-    links = judged.where("has_node").select(F.col("node").alias("a"), F.explode("targets").alias("b"))
+    links = judged.where("address is not null").select(F.col("address").alias("a"), F.explode("targets").alias("b"))
     if redirects is not None:
-        source, target = address_of(F.col("source_url")), address_of(F.col("target_url"))
-        more = redirects.where(source.isNotNull() & target.isNotNull())
-        links = links.unionByName(more.select(F.xxhash64(source, F.lit(0)).alias("a"), F.xxhash64(target, F.lit(0)).alias("b")))
-    classes = components(scratch, links)
+        more = redirects.select(address_of(F.col("source_url")).alias("a"), address_of(F.col("target_url")).alias("b"))
+        links = links.unionByName(more.where("a is not null and b is not null"))
+    links = scratch.write(links.distinct(), "links")
+    # A number for each address with a link; the written table holds it from here on.
+    nodes = links.select(F.col("a").alias("address")).union(links.select("b")).distinct().withColumn("node", F.monotonically_increasing_id())
+    nodes = scratch.write(nodes, "nodes")
+    number = lambda c: nodes.select(F.col("address").alias(c), F.col("node").alias(f"n_{c}"))
+    found = components(scratch, links.join(number("a"), "a").join(number("b"), "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b")))
+    found = nodes.join(found.withColumnRenamed("id", "node"), "node").select("address", "component")
+    names_of = found.groupBy("component").agg(F.min("address").alias("alias_class"))
+    classes = scratch.write(found.join(names_of, "component"), "classes")
+    scratch.keep("pages", "classes")
     verdicts = F.array(*(F.lit(r.verdict) for r in rules))
     names = F.array(*(F.lit(r.name) for r in rules))
-    joined = (
-        judged.join(classes.withColumnRenamed("id", "node"), "node", "left")
-        .withColumn("alias_class", F.when(F.col("has_node"), F.coalesce("component", "node")))
-        .withColumn("own", F.get(verdicts, F.col("rule_no")))
-    )
-    blocked = joined.where("own = 'block' and alias_class is not null").select("alias_class").distinct().withColumn("inherited", F.lit(True))
-    return joined.join(blocked, "alias_class", "left").select(
+    joined = judged.join(classes, "address", "left").withColumn("own", F.get(verdicts, F.col("rule_no")))
+    blocked = joined.where("own = 'block' and component is not null").select("component").distinct().withColumn("inherited", F.lit(True))
+    return joined.join(blocked, "component", "left").select(
         "page_id",
         "host",
         "path",
         F.get(names, F.col("rule_no")).alias("rule"),
         F.coalesce("own", F.when(F.col("inherited"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        "alias_class",
+        F.coalesce("alias_class", "address").alias("alias_class"),
         (F.col("own").isNull() & F.col("inherited").isNotNull()).alias("inherited"),
     )
 
@@ -182,8 +185,13 @@ fit AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
 tags AS (SELECT url, addr, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM p WHERE addr IS NOT NULL),
 raw AS (SELECT url, addr, CASE WHEN regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(t, '{href}', 1)
         WHEN regexp_matches(t, '(?i)http-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(t, '{to}', 1) END AS x FROM tags),
-whole AS (SELECT addr, CASE WHEN contains(x, '://') THEN x WHEN starts_with(x, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || x
-          WHEN starts_with(x, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || x END AS x FROM raw),
+rel AS (SELECT *, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS site, coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), ''), '/') AS own FROM raw),
+cut AS (SELECT *, string_split(regexp_replace(own, '[^/]*$', '') || regexp_extract(x, '^[^?#]*', 0), '/') AS s FROM rel),
+dots AS (SELECT *, CASE WHEN s[-1] IN ('.', '..') THEN list_append(s, '') ELSE s END AS s2 FROM cut),
+whole AS (SELECT addr, CASE WHEN contains(x, '://') THEN x WHEN starts_with(x, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || x WHEN starts_with(x, '/') THEN site || x
+          WHEN x = '' OR starts_with(x, '#') OR regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:') OR site = '' THEN NULL WHEN starts_with(x, '?') THEN site || own || x
+          ELSE site || array_to_string(list_reduce(list_transform(s2, lambda y: [y]), lambda acc, y: CASE WHEN y[1] = '..' THEN acc[1:greatest(len(acc) - 1, 1)] WHEN y[1] = '.' THEN acc ELSE list_concat(acc, y) END), '/')
+               || regexp_extract(x, '(?s)^[^?#]*(.*)$', 1) END AS x FROM dots),
 link AS (SELECT addr AS a, {address('x')} AS b FROM whole WHERE x IS NOT NULL),
 both_ways AS (SELECT a, b FROM link WHERE b IS NOT NULL UNION SELECT b, a FROM link WHERE b IS NOT NULL),
 bad(addr) AS (SELECT addr FROM p JOIN fit USING (page_id) WHERE own = 'block' AND addr IS NOT NULL
