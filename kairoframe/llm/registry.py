@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_sharding": sharding.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
     "op8_topk_search": topk_search.ORACLE,

@@ -72,3 +72,13 @@ def place(rows: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def _oracle() -> str:
+    owners = ",".join(map(str, fill(SHARDS)))
+    return f"""WITH lut AS (SELECT string_split('{owners}', ',') AS owners),
+k AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOTS} AS slot FROM documents)
+SELECT doc_id, slot, owners[slot + 1]::INT AS shard_id, 'shard-' || lpad(owners[slot + 1], 3, '0') AS shard FROM k, lut"""
+
+
+ORACLE = _oracle()
