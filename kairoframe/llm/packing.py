@@ -163,8 +163,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Every document is its ids and then id 0, so null and empty texts are one token. Documents over
     a window fill windows of their own, and their rest is packed with others; which documents meet
     is settled by a hash, so neither a source nor copies gather. Repeated rows are packed each for
-    itself; null ids are kept; no rows give none; other columns are not read. Only rests (under one
-    window each) are shuffled, and a task holds about ``docs_in_bucket`` of them.
+    itself; null ids are kept; no rows give none; other columns are not read. All pieces are
+    shuffled, with their ids only where they are shorter than a window; a task holds about
+    ``docs_in_bucket`` of these.
     """
     vocabulary = Vocabulary(path or default_path())
     kind = dict(docs.dtypes)[id_col]
