@@ -291,3 +291,82 @@ def test_calibration_is_honest():
     texts = ["".join(rng.choice("abcde " if i % 2 else "vwxyz ") for _ in range(80)) for i in range(200)]
     m = langid.train(texts, ["one" if i % 2 else "two" for i in range(200)])
     assert [p[0] for p in m.predict(["abc eda", "zyx wvw"])] == ["one", "two"]
+
+
+def plain_buckets(text):
+    """N-grams of a text, one at a time."""
+    raw = [b if b >= 128 else b | 32 if chr(b).isalpha() else 32 for b in b" " + text.encode() + b" "]
+    folded = [b for i, b in enumerate(raw) if b != 32 or not i or raw[i - 1] != 32]
+    out, m = [], 0xFFFFFFFF
+    for n in (2, 3, 4):
+        for i in range(len(folded) - n + 1):
+            h = folded[i]
+            for b in folded[i + 1 : i + n]:
+                h = (h * 0x01000193 & m) ^ b
+            x = (h ^ n * 0x9E3779B1 & m) * 0x85EBCA6B & m
+            out.append((x ^ x >> 15) * 0xC2B2AE35 % (m + 1) >> 16)
+    return out
+
+
+def test_langid_equals_a_plain_version(monkeypatch):
+    """Training and prediction against loops over single n-grams and dimensions."""
+    monkeypatch.setattr(langid, "DIMENSIONS", 3)
+    rng = random.Random(3)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(6))
+    texts = [make("abcé") if i % 2 else make("xyzß") for i in range(24)]
+    labels = ["one" if i % 2 else "two" for i in range(24)]
+    for t in texts:
+        assert sorted(langid.features([t.encode()])[0].tolist()) == sorted(plain_buckets(t))
+    model = langid.train(texts, labels, epochs=2)
+    # The same draws, then plain stochastic gradient descent.
+    draws = np.random.default_rng(7)
+    held = draws.random(24) < 0.2
+    emb = draws.normal(0, 0.1, (langid.BUCKETS, 3)).astype(np.float32).astype(float)
+    out = [[0.0, 0.0] for _ in range(3)]
+    for epoch in range(2):
+        step = 2.0 * (1 - epoch / 2)
+        for i in draws.permutation(np.flatnonzero(~held)):
+            count = collections.Counter(plain_buckets(texts[i]))
+            total = sum(count.values())
+            x = [sum(emb[b][d] * n / total for b, n in count.items()) for d in range(3)]
+            z = [sum(x[d] * out[d][k] for d in range(3)) for k in range(2)]
+            e = [np.exp(v - max(z)) for v in z]
+            g = [v / sum(e) - (k == ("one", "two").index(labels[i])) for k, v in enumerate(e)]
+            back = [sum(out[d][k] * g[k] for k in range(2)) for d in range(3)]
+            for d in range(3):
+                for k in range(2):
+                    out[d][k] -= step * x[d] * g[k]
+                for b, n in count.items():
+                    emb[b][d] -= step * min(50 * n / total, 1) * back[d]
+    assert np.allclose(model.logits, emb @ np.array(out), atol=1e-3)
+    for t in [*texts, "abc xyz", "Ab, cé!"]:
+        own = plain_buckets(t)
+        z = [sum(model.logits[b][k] for b in own) / len(own) / model.temperature for k in range(2)]
+        p = np.exp(np.array(z) - max(z)) / np.exp(np.array(z) - max(z)).sum()
+        lang, score, _ = model.predict([t])[0]
+        assert lang == model.languages[int(p.argmax())] and abs(score - p.max()) < 1e-4
+
+
+def test_langid_learns_every_label_within_bounds(spark):
+    rng = random.Random(4)
+    table = spark.createDataFrame([(i, "".join(rng.choice("abc ") for _ in range(50 if i % 7 else 5000)), f"l{i % 90:02d}") for i in range(900)] + [(9999, "x" * 9000, "long")], "doc_id long, text string, lang string")
+    rows_ = langid.labelled(table, "doc_id", "text", "lang", 20, 1000, 100).collect()
+    assert len({r.label for r in rows_}) == 91
+    size = collections.Counter()
+    for r in rows_:
+        size[r.label] += len(r.text)
+    assert all(n <= 1000 for label, n in size.items() if label != "long") and size["long"] == 9000
+    with pytest.raises(ValueError):
+        langid.labelled(table, "doc_id", "text", "lang", 20, 1000, 90)
+
+
+def test_top_k_of_queries_that_share_an_id(spark):
+    df = spark.createDataFrame([(0, [2.0, 1.0]), (0, [1.0, 3.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = topk_search.top_k(df, df.where("vec_id = 0")).collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got)] == [(1, 2, 3 * 64 * 64), (2, 1, 64 * 64)]
+
+
+def test_secrets_with_very_many_matches(spark):
+    hexes = [f"{i:024x}" for i in range(5000)]
+    got = secret_scan.secret_spans(spark.createDataFrame([(1, " ".join(hexes))], "doc_id long, text string")).first().secret_spans
+    assert [(x["s"], x["e"]) for x in got] == [(25 * i, 25 * i + 24) for i in range(5000)]
