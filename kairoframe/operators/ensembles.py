@@ -11,37 +11,30 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import overlaps
+from .query import core
 
 Path = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def elemfreq(postings: DataFrame, elems: DataFrame, cuts: Sequence[int]) -> DataFrame:
-    """Element ranges [cut, next cut), from rare to frequent. Of a query the rarest range that it
-    touches gives candidates, with time; each further range only refines them."""
+def elemfreq(postings: DataFrame, elems: DataFrame, cuts: Sequence[int], paths: Sequence[Path] | None = None) -> DataFrame:
+    """Element ranges [cut, next cut), from rare to frequent, each with a path of its own over its
+    postings. A range answers for the query's elements in it, and a pair must be found in every
+    range that the query touches."""
     edges = [0, *sorted(cuts), None]
     ranges = list(zip(edges[:-1], edges[1:], strict=True))[::-1]
-    level = F.lit(None).cast("int")
-    for i, (lo, hi) in enumerate(ranges):
-        inside = (F.col("elem_id") >= lo) & (F.lit(True) if hi is None else F.col("elem_id") < hi)
-        level = F.when(inside, F.lit(i)).otherwise(level)
+    paths = paths or [core] * len(ranges)
+    inside = lambda lo, hi: (F.col("elem_id") >= lo) & (F.lit(True) if hi is None else F.col("elem_id") < hi)
+    level = F.coalesce(*(F.when(inside(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(ranges)))
     q = elems.withColumn("level", level)
-    first = q.groupBy("qid").agg(F.min("level").alias("seed"))
-    q = q.join(first, "qid")
-    p = postings.withColumn("level", level)
     here = q.groupBy("qid", "level").agg(F.count("*").alias("here"))
-    q = q.join(here, ["qid", "level"])
-    seeds = q.where("level = seed")
-    met = p.join(seeds.drop("level"), "elem_id").where(overlaps())
-    found = met.groupBy("qid", "rec_id", "here").agg(F.count("*").alias("met")).where("met = here").select("qid", "rec_id")
-    for i in range(1, len(ranges)):
-        own = q.where((F.col("level") == i) & (F.col("level") > F.col("seed"))).select("qid", "elem_id", "here")
-        asked = own.select("qid").distinct()
-        need = found.join(asked, "qid").join(own, "qid")
-        held = need.join(p.where(F.col("level") == i).select("rec_id", "elem_id"), ["rec_id", "elem_id"], "left_semi")
-        passed = held.groupBy("qid", "rec_id", "here").agg(F.count("*").alias("met")).where("met = here").select("qid", "rec_id")
-        found = found.join(asked, "qid", "left_anti").unionByName(passed)
-    return found
+    q = q.drop("n").join(here, ["qid", "level"]).withColumnRenamed("here", "n")
+    touched = here.groupBy("qid").agg(F.count("*").alias("ranges"))
+    found = None
+    for i, ((lo, hi), path) in enumerate(zip(ranges, paths, strict=True)):
+        own = path(postings.where(inside(lo, hi)), q.where(F.col("level") == i).drop("level")).select("qid", "rec_id")
+        found = own if found is None else found.unionByName(own)
+    met = found.groupBy("qid", "rec_id").agg(F.count("*").alias("met"))
+    return met.join(touched, "qid").where("met = ranges").select("qid", "rec_id")
 
 
 def page_of(pages: Sequence[tuple[int, int]]) -> Column:
@@ -52,46 +45,59 @@ def page_of(pages: Sequence[tuple[int, int]]) -> Column:
     return page
 
 
-def _touched(pages: Sequence[tuple[int, int]], start: str, end: str, overflow: bool) -> Column:
-    hits = [F.when((F.col(start) <= hi) & (F.col(end) >= lo), F.lit(i)) for i, (lo, hi) in enumerate(pages)]
-    return F.array_compact(F.array(*hits, *([F.lit(len(pages))] if overflow else [])))
+def split(postings: DataFrame, elems: DataFrame, pages: Sequence[tuple[int, int]], paths: Sequence[Path] | None = None) -> DataFrame:
+    """Every object in one page, each page with a path of its own; queries visit the pages that they
+    overlap, and the overflow page."""
+    paths = [*(paths or [core] * len(pages)), core]
+    p = postings.withColumn("page", page_of(pages))
+    out = None
+    for i, path in enumerate(paths):
+        asked = elems if i == len(pages) else elems.where((F.col("q_start") <= pages[i][1]) & (F.col("q_end") >= pages[i][0]))
+        own = path(p.where(F.col("page") == i).drop("page"), asked).select("qid", "rec_id")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-def _counted(met: DataFrame) -> DataFrame:
-    return met.groupBy("qid", "rec_id", "n").agg(F.count("*").alias("met")).where("met = n").select("qid", "rec_id")
+def gaps_of(pages: Sequence[tuple[int, int]]) -> list[tuple[int | None, int | None]]:
+    """The stretches of time that no page covers; None is without end."""
+    out, at = [], None
+    for lo, hi in sorted(pages):
+        if at is None or lo > at:
+            out.append((at, lo - 1))
+        at = hi + 1 if at is None else max(at, hi + 1)
+    return [*out, (at, None)]
 
 
-def split(postings: DataFrame, elems: DataFrame, pages: Sequence[tuple[int, int]]) -> DataFrame:
-    """Every object in one page; queries visit the pages that they overlap, and the overflow page."""
-    p = postings.withColumn("page", page_of(pages))
-    q = elems.withColumn("page", F.explode(_touched(pages, "q_start", "q_end", True)))
-    return _counted(p.join(q, ["elem_id", "page"]).where(overlaps()))
-
-
-def sliced(postings: DataFrame, elems: DataFrame, pages: Sequence[tuple[int, int]]) -> DataFrame:
-    """Objects in every page that they overlap. A pair counts in the first page that both touch;
-    what touches no page lives in the overflow page, which every query visits."""
-    touched = _touched(pages, "t_start", "t_end", False)
-    p = postings.withColumn("own", F.when(F.size(touched) > 0, touched).otherwise(F.array(F.lit(len(pages)))))
-    p = p.select("rec_id", "elem_id", "t_start", "t_end", "own", F.explode("own").alias("page"))
-    q = elems.withColumn("asked", _touched(pages, "q_start", "q_end", True)).withColumn("page", F.explode("asked"))
-    met = p.join(q, ["elem_id", "page"]).where(overlaps() & (F.col("page") == F.array_min(F.array_intersect("own", "asked"))))
-    # Two intervals may overlap outside all pages that they share: those pairs meet in the rest.
-    alone = p.where(F.col("page") == F.array_min("own")).join(elems.withColumn("asked", _touched(pages, "q_start", "q_end", True)), "elem_id")
-    alone = alone.where(overlaps() & (F.size(F.array_intersect("own", "asked")) == 0))
-    cols = ["qid", "rec_id", "n"]
-    return _counted(met.select(cols).unionByName(alone.select(cols)))
-
-
-def hybrid(postings: DataFrame, elems: DataFrame, seed: Path) -> DataFrame:
-    """One path answers for each query's rarest element, plain postings refine by the others."""
+def sliced(postings: DataFrame, elems: DataFrame, pages: Sequence[tuple[int, int]], paths: Sequence[Path] | None = None) -> DataFrame:
+    """Objects in every page that they overlap, and in the overflow page where they reach beyond all
+    pages; queries too. A pair that overlaps shares an instant, and so a page. What is found in
+    several pages counts once."""
+    paths = [*(paths or [core] * len(pages)), core]
+    zones: list[list] = [[page] for page in pages] + [gaps_of(pages)]
+
+    def touches(start: str, end: str, zone: list) -> Column:
+        hit = F.lit(False)
+        for lo, hi in zone:
+            hit = hit | ((F.lit(True) if hi is None else F.col(start) <= hi) & (F.lit(True) if lo is None else F.col(end) >= lo))
+        return hit
+
+    out = None
+    for zone, path in zip(zones, paths, strict=True):
+        own = path(postings.where(touches("t_start", "t_end", zone)), elems.where(touches("q_start", "q_end", zone))).select("qid", "rec_id")
+        out = own if out is None else out.unionByName(own)
+    return out.distinct()
+
+
+def hybrid(postings: DataFrame, elems: DataFrame, seed: Path, refine: Path = core) -> DataFrame:
+    """One path answers for each query's rarest element, another for its other elements; a pair must
+    be found by both."""
     top = elems.groupBy("qid").agg(F.max("elem_id").alias("rarest"))
     marked = elems.join(top, "qid")
     seeds = marked.where("elem_id = rarest").select("qid", "q_start", "q_end", "elem_id", F.lit(1).cast("long").alias("n"))
     candidates = seed(postings, seeds).join(elems.groupBy("qid").agg(F.first("n").alias("n")), "qid")
-    others = marked.where("elem_id <> rarest").select("qid", "elem_id")
-    held = candidates.where("n > 1").join(others, "qid").join(postings.select("rec_id", "elem_id"), ["rec_id", "elem_id"], "left_semi")
-    full = held.groupBy("qid", "rec_id", "n").agg(F.count("*").alias("met")).where("met = n - 1").select("qid", "rec_id")
+    others = marked.where("elem_id <> rarest").select("qid", "q_start", "q_end", "elem_id", (F.col("n") - 1).alias("n"))
+    held = refine(postings, others).select("qid", "rec_id")
+    full = candidates.where("n > 1").join(held, ["qid", "rec_id"], "left_semi").select("qid", "rec_id")
     return candidates.where("n = 1").select("qid", "rec_id").unionByName(full)
 
 
@@ -102,17 +108,13 @@ def bands_of(lo: int, hi: int, n: int) -> list[tuple[int, int]]:
 
 
 def banded(postings: DataFrame, elems: DataFrame, bands: Sequence[tuple[int, int]], path: Callable[[int], Path]) -> DataFrame:
-    """Each band has a path of its own over the objects that overlap it; a pair counts in the first
-    band that both touch. ``bands`` must cover the domain. The band is known when the plan is made,
+    """Each band has a path of its own over the objects that overlap it; a pair that is found in
+    several bands counts once. ``bands`` must cover the domain. The band is known when the plan is made,
     so a layout stored by band is pruned by it."""
-    p = postings.withColumn("own", _touched(bands, "t_start", "t_end", False))
-    q = elems.withColumn("asked", _touched(bands, "q_start", "q_end", False))
     out = None
-    firsts = p.select("rec_id", F.array_min("own").alias("p0")).distinct()
-    asked = q.select("qid", F.array_min("asked").alias("q0")).distinct()
-    for i in range(len(bands)):
-        mine = p.where(F.array_contains("own", i)).drop("own")
-        ours = q.where(F.array_contains("asked", i)).drop("asked")
-        got = path(i)(mine, ours).join(firsts, "rec_id").join(asked, "qid").where(F.greatest("p0", "q0") == i).select("qid", "rec_id")
+    for i, (lo, hi) in enumerate(bands):
+        mine = postings.where((F.col("t_start") <= hi) & (F.col("t_end") >= lo))
+        ours = elems.where((F.col("q_start") <= hi) & (F.col("q_end") >= lo))
+        got = path(i)(mine, ours).select("qid", "rec_id")
         out = got if out is None else out.unionByName(got)
-    return out
+    return out.distinct()

@@ -51,13 +51,22 @@ def dynamic_slices(freq: Column, alpha: float, beta: float) -> Column:
     return F.greatest(F.lit(1), F.round(F.pow(F.lit(10.0), F.log10(freq / F.pow(F.lit(10.0), F.lit(alpha))) * beta))).cast("long")
 
 
-def grid_dynamic(postings: DataFrame, alpha: float, beta: float) -> tuple[DataFrame, DataFrame]:
-    """The layout with slices by element, and the elements' bounds (elem_id, g0, ext, slices)."""
+def grid_dynamic_bounds(postings: DataFrame, alpha: float, beta: float) -> DataFrame:
+    """The elements' bounds (elem_id, g0, ext, slices)."""
     own = postings.groupBy("elem_id").agg(F.count("*").alias("freq"), F.min("t_start").alias("g0"), F.max("t_end").alias("g1"))
     own = own.withColumn("slices", dynamic_slices(F.col("freq"), alpha, beta))
-    own = own.withColumn("ext", F.greatest(F.lit(1), F.ceil((F.col("g1") - F.col("g0")) / F.col("slices"))).cast("long")).select("elem_id", "g0", "ext", "slices")
+    return own.withColumn("ext", F.greatest(F.lit(1), F.ceil((F.col("g1") - F.col("g0")) / F.col("slices"))).cast("long")).select("elem_id", "g0", "ext", "slices")
+
+
+def grid_dynamic_rows(postings: DataFrame, own: DataFrame) -> DataFrame:
+    """The layout with slices by element."""
     rows = postings.join(own, "elem_id").withColumn("s0", _slice("t_start")).withColumn("s1", _slice("t_end"))
-    return rows.select("rec_id", "elem_id", "t_start", "t_end", "s0", F.explode(F.sequence("s0", "s1")).alias("pid")), own
+    return rows.select("rec_id", "elem_id", "t_start", "t_end", "s0", F.explode(F.sequence("s0", "s1")).alias("pid"))
+
+
+def grid_dynamic(postings: DataFrame, alpha: float, beta: float) -> tuple[DataFrame, DataFrame]:
+    own = grid_dynamic_bounds(postings, alpha, beta)
+    return grid_dynamic_rows(postings, own), own
 
 
 def grid_dynamic_query(layout: DataFrame, elems: DataFrame, own: DataFrame) -> DataFrame:
@@ -110,12 +119,13 @@ def hint(postings: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def hint_query(layout: DataFrame, elems: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Replicas count only in the first part that a query touches on their level."""
+    """One row for each level of a query's element, with the range of parts that it touches there.
+    Replicas count only in the first of these parts."""
     q = _bounded(elems, bounds).withColumn("qa", _prefix("q_start")).withColumn("qb", _prefix("q_end"))
     q = q.select("qid", "q_start", "q_end", "elem_id", "n", "qa", "qb", F.explode(F.expr("sequence(0, m)")).alias("lvl"))
-    first = F.expr("shiftright(qa, lvl)")
-    q = q.select("qid", "q_start", "q_end", "elem_id", "n", "lvl", first.alias("q_first"), F.explode(F.sequence(first, F.expr("shiftright(qb, lvl)"))).alias("part"))
-    return _result(layout.join(q, ["elem_id", "lvl", "part"]).where(overlaps() & (F.col("org") | (F.col("part") == F.col("q_first")))))
+    q = q.select("qid", "q_start", "q_end", "elem_id", "n", "lvl", F.expr("shiftright(qa, lvl)").alias("q_first"), F.expr("shiftright(qb, lvl)").alias("q_last"))
+    met = layout.join(q, ["elem_id", "lvl"]).where(F.col("part").between(F.col("q_first"), F.col("q_last")) & overlaps())
+    return _result(met.where(F.col("org") | (F.col("part") == F.col("q_first"))))
 
 
 def irhint(postings: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -151,28 +161,53 @@ def relaxation(freq: Column, alpha: float, beta: float) -> Column:
     return F.least(F.lit(100.0), 100 * F.exp(-beta * F.greatest(F.lit(0.0), F.log10(freq) - alpha)))
 
 
+def shard_slack(*args: str):
+    """From a configuration's arguments (``static;percent`` or ``dyn;alpha;beta``; nothing: 2 %) to a
+    function of postings that tells by element how far an end may fall back: ``(elem_id, slack)``."""
+    if args and args[0] == "dyn":
+        percent = lambda freq: relaxation(freq, float(args[1]), float(args[2]))
+    else:
+        percent = lambda freq: F.lit(float(args[1]) if args else 2.0)
+
+    def slack(postings: DataFrame) -> DataFrame:
+        own = postings.groupBy("elem_id").agg(F.count("*").alias("freq"), (F.max("t_end") - F.min("t_start")).alias("domain"))
+        return own.select("elem_id", F.floor(percent(F.col("freq")) / 100 * F.col("domain")).cast("long").alias("slack"))
+
+    return slack
+
+
+def shard_rows(postings: DataFrame, slack: DataFrame) -> DataFrame:
+    """postings + shard: in start order each posting joins the first shard of its element whose last
+    end it does not undercut by more than the element's slack. Sequential by nature within an
+    element: its postings stream through one task in start order and only the last end of each shard
+    is held, so a frequent element costs time there but no memory."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        now, last = None, []
+        for batch in batches:
+            elem, end, slacks = (batch.column(c).to_numpy() for c in ("elem_id", "t_end", "slack"))
+            out = np.empty(len(batch), np.int64)
+            for j, (e, z, free) in enumerate(zip(elem.tolist(), end.tolist(), slacks.tolist(), strict=True)):
+                if e != now:
+                    now, last = e, []
+                for i, before in enumerate(last):
+                    if z >= before - free:
+                        last[i] = max(before, z)
+                        break
+                else:
+                    i = len(last)
+                    last.append(z)
+                out[j] = i
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rec_id", "elem_id", "t_start", "t_end")), pa.array(out)], names=["rec_id", "elem_id", "t_start", "t_end", "shard"])
+
+    ordered = postings.join(slack, "elem_id").select("rec_id", "elem_id", "t_start", "t_end", "slack").repartition("elem_id").sortWithinPartitions("elem_id", "t_start", "t_end", "rec_id")
+    return ordered.mapInArrow(run, "rec_id long, elem_id long, t_start long, t_end long, shard long")
+
+
 def greedy_shards(postings: DataFrame, slack: int) -> DataFrame:
-    """Shards by the sequential greedy: in start order each posting joins the first shard whose
-    last end it does not undercut by more than ``slack``. Sequential by nature within an element,
-    which is one group here; for exact shard counts only, as answers do not depend on shards."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_start", "t_end", "rec_id"])
-        last: list[int] = []
-        out = []
-        for end in pdf["t_end"]:
-            for i, e in enumerate(last):
-                if end >= e - slack:
-                    last[i] = max(e, end)
-                    out.append(i)
-                    break
-            else:
-                out.append(len(last))
-                last.append(end)
-        return pdf.assign(shard=out)
-
-    return postings.groupBy("elem_id").applyInPandas(run, "rec_id long, elem_id long, t_start long, t_end long, shard long")
+    return shard_rows(postings, postings.select("elem_id").distinct().withColumn("slack", F.lit(slack).cast("long")))
 
 
 # ---- size accounting

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import Files
+
 
 def update(objects: DataFrame, more: DataFrame) -> DataFrame:
     """Appends; the new ids are shifted behind the greatest id so far."""
@@ -32,20 +34,19 @@ def restore(tombstones: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def rewrite_touched(spark, path: str, ids: DataFrame, by: str = "band") -> list:
-    """Deletes from a stored layout, rewriting only the partitions that hold a deleted id. Returns
-    the partitions' values. Untouched partitions are neither read in full nor written."""
+    """Deletes from a layout in folders by ``by``, rewriting only those that hold a deleted id, and
+    tells their values. New folders are written whole beside the old ones and then take their
+    places one by one; a failure in between leaves each folder old or new, and a second call ends
+    the work. ``Stored`` swaps all of them at once."""
     stored = spark.read.parquet(path)
     dead = ids.select("rec_id").distinct()
     touched = [r[0] for r in stored.select(by, "rec_id").join(dead, "rec_id", "left_semi").select(by).distinct().collect()]
     if touched:
-        kept = stored.where(F.col(by).isin(touched)).join(dead, "rec_id", "left_anti")
-        side = f"{path.rstrip('/')}.rewrite"
-        kept.write.mode("overwrite").partitionBy(by).parquet(side)
-        fresh = spark.read.schema(stored.schema).parquet(side)
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-        left = {r[0] for r in fresh.select(by).distinct().collect()}
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for gone in [side, *(f"{path}/{by}={v}" for v in touched if v not in left)]:  # emptied partitions
-            at = jvm.org.apache.hadoop.fs.Path(gone)
-            at.getFileSystem(conf).delete(at, True)
+        files, side = Files(spark), f"{path.rstrip('/')}.rewrite"
+        stored.where(F.col(by).isin(touched)).join(dead, "rec_id", "left_anti").write.mode("overwrite").partitionBy(by).parquet(side)
+        for value in touched:
+            files.delete(f"{path}/{by}={value}")
+            if files.exists(f"{side}/{by}={value}"):
+                files.rename(f"{side}/{by}={value}", f"{path}/{by}={value}")
+        files.delete(side)
     return touched

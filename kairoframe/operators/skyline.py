@@ -59,6 +59,11 @@ def dedup(scores: DataFrame, key: Sequence[str] = ("objects", "queries", "schema
     return scores.groupBy(*key).agg(F.max("qps").alias("qps"), F.max_by("category", "qps").alias("category"))
 
 
+def not_done(configs: DataFrame, scores: DataFrame, key: Sequence[str] = ("objects", "queries", "schema")) -> DataFrame:
+    """The runs that no score tells of yet."""
+    return configs.join(scores.select(*key).distinct(), list(key), "left_anti")
+
+
 def matching(column: Column, spec: str) -> Column:
     """``a,b|c,d``: one of a, b and one of c, d occur; without a bar one of the words."""
     out = F.lit(True)

@@ -55,8 +55,10 @@ def _slicing(args: list[str]) -> Path:
 
 @register("tif;sharding")
 def _sharding(args: list[str]) -> Path:
+    slack = layouts.shard_slack(*args[2:])
+
     def path(p: DataFrame, q: DataFrame) -> DataFrame:
-        rows = layouts.shards(p)
+        rows = layouts.shard_rows(p, slack(p))
         return layouts.shard_query(rows, q, layouts.shard_zones(rows))
 
     return path
@@ -109,16 +111,26 @@ def _pages(children: list[Schema], b: Bounds) -> list[tuple[int, int]]:
 
 
 def build(schema: Schema, bounds: Bounds) -> Path:
-    """Precedence as in the configurations: hybrid, refine, split, slice, then a plain method."""
+    """Precedence as in the configurations: hybrid, refine, split, slice, then a plain method. Each
+    child is a path of its own over its share of the postings, to any depth."""
+    children = schema.fanout
     if schema.hybrid:
-        return lambda p, q: ensembles.hybrid(p, q, build(schema.fanout[0], bounds))
+        if len(children) != 2:
+            raise ValueError("a hybrid has two children")
+        return lambda p, q: ensembles.hybrid(p, q, *(build(c, bounds) for c in children))
     if schema.refine:
-        cuts = [element_bound(float(c.range.split("-")[0]), bounds.dict_size) for c in schema.fanout]
-        return lambda p, q: ensembles.elemfreq(p, q, sorted(c for c in set(cuts) if c > 0))
-    if schema.split:
-        return lambda p, q: ensembles.split(p, q, _pages(schema.fanout, bounds))
-    if schema.slice:
-        return lambda p, q: ensembles.sliced(p, q, _pages(schema.fanout, bounds))
+        if schema.refine != "elemfreq":
+            raise ValueError(f"unknown refinement {schema.refine}")
+        low = {element_bound(float(c.range.split("-")[0]), bounds.dict_size): c for c in children}
+        if len(low) != len(children) or 0 not in low:
+            raise ValueError("ranges of elements must differ and reach down to 0")
+        paths = [build(low[cut], bounds) for cut in sorted(low, reverse=True)]
+        return lambda p, q: ensembles.elemfreq(p, q, [c for c in sorted(low) if c > 0], paths)
+    if schema.split or schema.slice:
+        if (schema.split or schema.slice) != "temporal":
+            raise ValueError(f"unknown fanout {schema.split or schema.slice}")
+        combine = ensembles.split if schema.split else ensembles.sliced
+        return lambda p, q: combine(p, q, _pages(children, bounds), [build(c, bounds) for c in children])
     if len(schema.fanout) == 1:
         return build(schema.fanout[0], bounds)
     return access_path(schema.method)

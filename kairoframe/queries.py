@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from .operators import costmodel, ensembles, generate, layouts, mutations, query, search, skyline, slices, stats
 from .operators.postings import collect_objects, dictionary, domain, explode_objects, postings, subset
 from .plans import engine, schema
+from .plans.layout import StoredLayout
 from .sources.fixtures import FIXTURES, SQL
+from .sources.stored import once, place
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Of each fixture every how many objects ask, and how far around their start.
-ASK = {"archive": (20, 500), "basket": (75, 5), "session": (7, 2000)}
+ASK = {"archive": (20, 500), "basket": (20, 5), "session": (7, 2000)}
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -48,22 +50,48 @@ def add(name: str, sql: str | None = None):
     return keep
 
 
+def words_of(fixture: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's dictionary, written once."""
+    return once(spark, sf_dir, f"{fixture} dictionary", lambda: dictionary(FIXTURES[fixture](spark, sf_dir)), sort=["elem"])
+
+
 def rows_of(fixture: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(FIXTURES[fixture](spark, sf_dir))
+    """The fixture's postings, written once, in order of elements; a frequent one may span files."""
+
+    def make() -> DataFrame:
+        return postings(FIXTURES[fixture](spark, sf_dir), words_of(fixture, spark, sf_dir)).repartitionByRange("elem_id", "rec_id")
+
+    return once(spark, sf_dir, f"{fixture} postings", make, sort=["elem_id", "t_start"])
 
 
 def asked(fixture: str, p: DataFrame) -> DataFrame:
     return query.workload(p, *ASK[fixture])
 
 
+def asked_of(fixture: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's workload, written once."""
+    return once(spark, sf_dir, f"{fixture} workload {ASK[fixture]}", lambda: asked(fixture, rows_of(fixture, spark, sf_dir)), sort=["elem_id"])
+
+
+def laid(fixture: str, method: str) -> Query:
+    """The workload over a layout of the method, written once."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        layout = StoredLayout(spark, place(spark, sf_dir, f"{fixture} {method}"), method)
+        if not layout.data.exists():
+            layout.create(rows_of(fixture, spark, sf_dir))
+        return layout.query(asked_of(fixture, spark, sf_dir))
+
+    return run
+
+
 def on(fixture: str):
     """Queries of (postings, elems)."""
 
     def wrap(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
         @functools.wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            p = rows_of(fixture, spark, sf_dir)
-            return f(p, asked(fixture, p))
+            return f(rows_of(fixture, spark, sf_dir), asked_of(fixture, spark, sf_dir))
 
         return run
 
@@ -76,12 +104,15 @@ for _name in FIXTURES:
     add(f"ttir_core_{_name}", base(_name) + CORE)(on(_name)(query.core))
 
 
-@add("ttir_naive_session", base("session") + CORE)
-@on("session")
 def naive(p: DataFrame, q: DataFrame) -> DataFrame:
+    """All pairs: a check of the others on small tables, and not a way to answer."""
     return query.naive(collect_objects(p), query.as_queries(q))
 
 
+for _name in ("session", "archive"):
+    add(f"ttir_naive_{_name}", base(_name) + CORE)(on(_name)(naive))
+
+
 @add("ttir_checksum", base("basket") + "SELECT qid, count(*) AS results, bit_xor(rec_id) AS xor_ids FROM res GROUP BY qid")
 @on("basket")
 def checksum(p: DataFrame, q: DataFrame) -> DataFrame:
@@ -123,7 +154,7 @@ def domain_stats(p: DataFrame, q: DataFrame) -> DataFrame:
 
 @add("dictionary_ranks", base("archive") + "SELECT elem, elem_id, freq FROM dict")
 def dictionary_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary(FIXTURES["archive"](spark, sf_dir)).select("elem", "elem_id", "freq")
+    return words_of("archive", spark, sf_dir).select("elem", "elem_id", "freq")
 
 
 # ---- layouts
@@ -150,21 +181,18 @@ def _hint(p: DataFrame, q: DataFrame) -> DataFrame:
     return layouts.hint_query(layouts.hint(p, bounds), q, bounds)
 
 
-def _irhint(p: DataFrame, q: DataFrame) -> DataFrame:
-    bounds = layouts.hint_bounds(p, 8)
-    return layouts.hint_query(layouts.irhint(p, bounds), q, bounds)
-
-
 def _sharding(p: DataFrame, q: DataFrame) -> DataFrame:
     rows = layouts.shards(p)
     return layouts.shard_query(rows, q, layouts.shard_zones(rows))
 
 
 for _name in FIXTURES:
-    add(f"ttir_grid_{_name}", base(_name) + CORE)(on(_name)(_grid))
-    add(f"ttir_hint_{_name}", base(_name) + CORE)(on(_name)(_hint))
-add("ttir_irhint", base("basket") + CORE)(on("basket")(_irhint))
-add("ttir_sharding", base("basket") + CORE)(on("basket")(_sharding))
+    add(f"ttir_grid_{_name}", base(_name) + CORE)(laid(_name, "tif;slicing;a;static;16"))
+    add(f"ttir_hint_{_name}", base(_name) + CORE)(laid(_name, "tif;hint;mrg;static;8"))
+add("ttir_irhint", base("basket") + CORE)(laid("basket", "irhint;perf;8"))
+add("ttir_sharding", base("basket") + CORE)(laid("basket", "tif;sharding;static;2"))
+add("ttir_sharding_dynamic", base("session") + CORE)(laid("session", "tif;sharding;dyn;1.0;0.7"))
+add("ttir_sharding_by_length", base("basket") + CORE)(on("basket")(_sharding))
 
 DYNAMIC = """, own AS (SELECT elem_id, count(*) AS freq, min(t_start) AS g0, max(t_end) AS g1,
   greatest(1, round(power(10.0::DOUBLE, log10(count(*) / power(10.0::DOUBLE, 1.2)) * 0.6)))::BIGINT AS slices FROM p GROUP BY elem_id),
@@ -178,12 +206,7 @@ def layout_grid_dynamic(p: DataFrame, q: DataFrame) -> DataFrame:
     return own.join(p.groupBy("elem_id").agg(F.count("*").alias("freq")), "elem_id").select("elem_id", "freq", "slices", "ext")
 
 
-@add("ttir_grid_dynamic", base("basket") + CORE)
-@on("basket")
-def ttir_grid_dynamic(p: DataFrame, q: DataFrame) -> DataFrame:
-    rows, own = layouts.grid_dynamic(p, 1.2, 0.6)
-    return layouts.grid_dynamic_query(rows, q, own)
-
+add("ttir_grid_dynamic", base("basket") + CORE)(laid("basket", "tif;slicing;a;dyn;1.2;0.6"))
 
 HINT = """, sh AS (SELECT g0, g1, greatest(0, length(bin(g1 - g0)) - 8) AS shift FROM dom),
 ab AS (SELECT rec_id, (t_start - g0) >> shift AS a, (t_end - g0) >> shift AS b FROM p, sh),
@@ -231,10 +254,19 @@ def shard_relaxation(p: DataFrame, q: DataFrame) -> DataFrame:
     return p.groupBy("elem_id").agg(F.count("*").alias("freq")).select("elem_id", layouts.relaxation(F.col("freq"), 1.0, 0.7).alias("percent"))
 
 
-@add("greedy_shards")
+GREEDY = """, own AS (SELECT elem_id, least(100.0::DOUBLE, 100 * exp(-0.7 * greatest(0.0, log10(count(*)) - 1.0))) AS percent, max(t_end) - min(t_start) AS domain FROM p GROUP BY elem_id),
+sl AS (SELECT elem_id, floor(percent / 100 * domain)::BIGINT AS slack FROM own),
+nth AS (SELECT elem_id, rec_id, t_end, row_number() OVER (PARTITION BY elem_id ORDER BY t_start, t_end, rec_id) AS i FROM p),
+fold AS (SELECT elem_id, rec_id, i, slack, [t_end] AS ends, 1::BIGINT AS spot FROM nth JOIN sl USING (elem_id) WHERE i = 1
+  UNION ALL SELECT elem_id, rec_id, i, slack, CASE WHEN spot > len(ends) THEN list_append(ends, t_end) ELSE list_concat(list_append(ends[:spot - 1], greatest(ends[spot], t_end)), ends[spot + 1:]) END, spot
+  FROM (SELECT n.elem_id, n.rec_id, n.i, f.slack, f.ends, n.t_end, coalesce(nullif(list_position(list_transform(f.ends, lambda x: n.t_end >= x - f.slack), true), 0), len(f.ends) + 1) AS spot
+        FROM fold f JOIN nth n ON n.elem_id = f.elem_id AND n.i = f.i + 1))"""
+
+
+@add("greedy_shards", base("basket", GREEDY).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT elem_id, rec_id, (spot - 1)::BIGINT AS shard FROM fold")
 @on("basket")
 def greedy_shards(p: DataFrame, q: DataFrame) -> DataFrame:
-    return layouts.greedy_shards(p, 50).groupBy("elem_id").agg((F.max("shard") + 1).alias("shards"))
+    return layouts.shard_rows(p, layouts.shard_slack("dyn", "1.0", "0.7")(p)).select("elem_id", "rec_id", "shard")
 
 
 @add(
@@ -257,6 +289,9 @@ CONFIGS = {
     "ensemble_slice": ("basket", '{"slice":"temporal","fanout":[{"range":"0-0.25","method":"tif;basic"},{"range":"0.25-0.5","method":"tif;basic"},{"range":"0.5-1","method":"tif;basic"}]}'),
     "ensemble_hybrid": ("basket", '{"hybrid":"moveout-refine","fanout":[{"method":"tif;hint;mrg;static;6"},{"method":"tif;basic"}]}'),
     "ensemble_banded": ("session", '[{"band_range":"0-0.3","method":"tif;slicing;a;static;8"},{"band_range":"0.3-0.7","method":"tif;basic"},{"band_range":"0.7-1","method":"irhint;perf;5"}]'),
+    "ensemble_split_paths": ("session", '{"split":"temporal","fanout":[{"range":"0-0.3","method":"irhint;perf;6"},{"range":"0.3-0.6","method":"tif;slicing;a;static;8"},{"range":"0.6-1","method":"tif;hint;mrg;static;5"}]}'),
+    "ensemble_slice_paths": ("basket", '{"slice":"temporal","fanout":[{"range":"0.1-0.4","method":"irhint;perf;5"},{"range":"0.5-0.9","method":"tif;sharding;static;2"}]}'),
+    "ensemble_nested": ("basket", '{"slice":"temporal","fanout":[{"range":"0-0.5","refine":"elemfreq","fanout":[{"range":"0.7-1","method":"tif;slicing;a;dyn;1.2;0.6"},{"range":"0-0.7","method":"irhint;perf;6"}]},{"range":"0.5-1","hybrid":"moveout-refine","fanout":[{"method":"tif;hint;mrg;static;6"},{"method":"tif;sharding;dyn;1.0;0.7"}]}]}'),
     "ensemble_sharding": ("session", '{"method":"tif;sharding;static;2"}'),
     "ensemble_hint_dyn": ("basket", '{"method":"tif;hint;mrg;dyn;0.5;2.5"}'),
     "ensemble_slicing_dyn": ("session", '{"method":"tif;slicing;a;dyn;1.2;0.6"}'),
@@ -680,14 +715,19 @@ def _features(spark: SparkSession, p: DataFrame, q: DataFrame) -> DataFrame:
 @add("lcm_features")
 def lcm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = rows_of("basket", spark, sf_dir)
-    return _features(spark, p, asked("basket", p)).select("qid", "config", F.size("features").alias("size"), "features")
+    return _features(spark, p, asked_of("basket", spark, sf_dir)).select("qid", "config", F.size("features").alias("size"), "features")
 
 
 @add("lcm_predict")
 def lcm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on rows whose seconds follow the configuration and the query, then asked for all."""
     p = rows_of("basket", spark, sf_dir)
-    predicted = costmodel.predict(_features(spark, p, asked("basket", p)), costmodel.Network.fresh())
-    return costmodel.aggregate(predicted)
+    rows = _features(spark, p, asked_of("basket", spark, sf_dir))
+    place = 2 + 24 + 12
+    known = rows.withColumn("throughput_log", F.get("features", place + 11 + 4) / 4 + F.get("features", place + 2)).withColumn("size_log", F.get("features", 0))
+    net, _ = costmodel.train_frame(known, seed=1)
+    found = costmodel.predict(known.withColumnRenamed("throughput_log", "t").withColumnRenamed("size_log", "s"), net, ("qid", "config", "t"))
+    return costmodel.aggregate(found).join(costmodel.accuracy(found, ["config"], "t", "throughput_log"), "config")
 
 
 _ACC = SCORES + ", a AS (SELECT category, log10(qps) AS t, log10(qps) + (xor_result % 7 - 3) / 50.0::DOUBLE AS u FROM s)"
@@ -707,3 +747,6 @@ def query_order_ranks(p: DataFrame, q: DataFrame) -> DataFrame:
     o = p.select("rec_id", "t_start").distinct()
     place = F.row_number().over(Window.partitionBy("qid").orderBy("t_start", "rec_id"))
     return query.core(p, q).join(o, "rec_id").withColumn("place", place).where("place <= 3").select("qid", "rec_id", F.col("place").cast("long").alias("place"))
+
+
+from . import queries_more  # noqa: E402, F401  (registers the others)

@@ -30,6 +30,8 @@ CONFIGS = [
     '{"split":"temporal","fanout":[{"range":"0-0.5","method":"tif;basic"},{"range":"0.5-1","method":"tif;basic"}]}',
     '{"slice":"temporal","fanout":[{"range":"0-0.5","method":"tif;basic"},{"range":"0.5-1","method":"tif;basic"}]}',
     '{"hybrid":"moveout-refine","fanout":[{"method":"irhint;perf;3"},{"method":"tif;basic"}]}',
+    '{"slice":"temporal","fanout":[{"range":"0.2-0.4","method":"irhint;perf;3"},{"range":"0.6-0.8","method":"tif;sharding;static;5"}]}',
+    '{"split":"temporal","fanout":[{"range":"0-0.5","refine":"elemfreq","fanout":[{"range":"0.5-1","method":"tif;slicing;a;static;4"},{"range":"0-0.5","method":"tif;hint;mrg;static;3"}]},{"range":"0.5-1","method":"tif;sharding;dyn;0.5;0.5"}]}',
     '[{"band_range":"0-0.5","method":"tif;basic"},{"band_range":"0.5-1","method":"irhint;perf;2"}]',
 ]
 CASES = {
@@ -135,3 +137,63 @@ def test_own_access_path(spark):
 
 def test_bands_cover(spark):
     assert ensembles.bands_of(0, 10, 3) == [(0, 3), (4, 7), (8, 10)]
+
+
+def test_every_child_path_is_asked(spark, monkeypatch):
+    """Composed configurations use the methods of all their children."""
+    from kairoframe.plans import engine
+
+    seen = []
+    for name in list(REGISTRY):
+        inner = REGISTRY[name]
+        monkeypatch.setitem(REGISTRY, name, lambda args, inner=inner: seen.append(";".join(args)) or inner(args))
+    p = explode_objects(objects(spark, [(i, i, i + 7, [i % 5, 5 + i % 3, 9]) for i in range(40)]))
+    q = query.query_elems(queries(spark, [(0, 3, 20, [1, 9]), (1, 10, 12, [5, 9, 2])]))
+    want = sorted(map(tuple, query.core(p, q).collect()))
+    kinds = ["tif;slicing;a;static;3", "irhint;perf;3", "tif;hint;mrg;static;2", "tif;sharding;static;2"]
+    a, b, c, d = (f'"method":"{k}"' for k in kinds)
+    inner = f'{{"range":"0-0.5","refine":"elemfreq","fanout":[{{"range":"0.5-1",{a}}},{{"range":"0-0.5",{b}}}]}}'
+    for outer in ("split", "slice"):
+        seen.clear()
+        config = f'{{"{outer}":"temporal","fanout":[{inner},{{"range":"0.5-1","hybrid":"moveout-refine","fanout":[{{{c}}},{{{d}}}]}}]}}'
+        assert sorted(map(tuple, engine.answer(p, q, config).collect())) == want
+        assert sorted(seen) == sorted(kinds)
+    for bad in ('{"refine":"elemfreq","fanout":[{"range":"0.5-1","method":"tif;basic"}]}', '{"split":"space","fanout":[]}', '{"hybrid":"moveout-refine","fanout":[{"method":"tif;basic"}]}'):
+        with pytest.raises(ValueError):
+            engine.answer(p, q, bad)
+
+
+@pytest.mark.parametrize("method", ["tif;basic", "tif;slicing;a;static;5", "tif;slicing;a;dyn;0.3;0.9", "tif;hint;mrg;static;4", "tif;hint;mrg;dyn;0.2;3", "irhint;perf;4", "tif;sharding;static;2", "tif;sharding;dyn;0.5;0.5"])
+def test_stored_layouts_change_in_place(spark, tmp_path, method):
+    from kairoframe.plans.layout import StoredLayout
+
+    rows = [(i, i * 3 % 50, i * 3 % 50 + i % 9, [i % 4, 4 + i % 3]) for i in range(60)]
+    more = [(100 + i, 40 + i, 70 + i, [i % 4, 4, 50 + i]) for i in range(6)]
+    ids = lambda xs: spark.createDataFrame([(x,) for x in xs], "rec_id long")
+    q = query.query_elems(queries(spark, [(0, 3, 20, [1, 4]), (1, 30, 90, [0, 4]), (2, -5, 200, [2]), (3, 41, 80, [53])]))
+    layout = StoredLayout(spark, str(tmp_path / "layout"), method).create(explode_objects(objects(spark, rows)))
+    layout.update(explode_objects(objects(spark, more)))
+    layout.delete(ids([0, 5, 101]))
+    layout.soft_delete(ids([7, 8]))
+    layout.soft_delete(ids([8, 9]))
+    want = lambda gone: sorted(map(tuple, query.core(explode_objects(objects(spark, [r for r in rows + more if r[0] not in gone])), q).collect()))
+    again = StoredLayout(spark, str(tmp_path / "layout"), method)
+    assert sorted(map(tuple, again.query(q).collect())) == want({0, 5, 101, 7, 8, 9})
+    again.compact()
+    again.data.vacuum()
+    assert sorted(map(tuple, again.query(q).collect())) == want({0, 5, 101, 7, 8, 9})
+
+
+def test_stored_tables_rewrite_only_what_is_touched(spark, tmp_path):
+    from kairoframe.sources.stored import Stored
+
+    t = Stored(spark, str(tmp_path / "t")).create(spark.createDataFrame([(i, i % 4) for i in range(40)], "rec_id long, part long"), "part", ["rec_id"])
+    before = t.manifest()["parts"]
+    assert t.delete(spark.createDataFrame([(4,), (8,), (777,)], "rec_id long")) == ["0"]
+    after = t.manifest()["parts"]
+    assert {v: f for v, f in after.items() if v != "0"} == {v: f for v, f in before.items() if v != "0"} and after["0"] != before["0"]
+    assert t.rows().count() == 38 and "PartitionFilters: [isnotnull(part" in t.rows().where("part = 2")._jdf.queryExecution().toString()
+    t.append(spark.createDataFrame([(900, 9), (901, 0)], "rec_id long, part long"))
+    assert sorted(r.rec_id for r in t.rows().where("part in (0, 9)").collect()) == sorted([*(i for i in range(0, 40, 4) if i not in (4, 8)), 900, 901])
+    t.delete(spark.createDataFrame([(900,)], "rec_id long"))
+    assert t.rows().where("part = 9").count() == 0

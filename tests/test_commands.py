@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from kairoframe import __main__ as cli
+from kairoframe.sources import files
 from kairoframe.operators import costmodel, generate, query
 from kairoframe.operators.postings import explode_objects
 from kairoframe.plans import config, synthesis
@@ -67,3 +68,29 @@ def test_synthesis(spark, tmp_path):
     measured = spark.createDataFrame([("a", 0.01, 1000)], "config string, seconds double, bytes long")
     assert synthesis.training_rows(p, elems, configs, measured).count() == elems.select("qid").distinct().count()
     assert query.core(p, synthesis.sampled(elems, 3)).select("qid").distinct().count() == 3
+
+
+def test_measured_runs_and_the_model(spark, tmp_path, capsys):
+    path = lambda x: str(tmp_path / x)
+    cli.run(["generate-OQ", "60", "200", "9", "BASE", "2", path("made")])
+    assert spark.read.parquet(path("made/queries")).count() > 0
+    (tmp_path / "q.qry").write_text("4 60 1\n8 80 2,1\n100 190 0,1\n")
+    configs = ['{"method":"tif;basic"}', '{"method":"irhint;perf;4"}', '{"method":"tif;slicing;a;dyn;0.5;0.5"}', '{"refine":"elemfreq","fanout":[{"range":"0.5-1","method":"tif;basic"},{"range":"0-0.5","method":"irhint;perf;3"}]}']
+    (tmp_path / "c.txt").write_text("\n".join(configs[:3]))
+    cli.run(["measure", path("made/objects"), path("q.qry"), path("c.txt"), path("scores")])
+    (tmp_path / "c.txt").write_text("\n".join(configs))
+    cli.run(["measure", path("made/objects"), path("q.qry"), path("c.txt"), path("scores")])
+    rows = files.read_scores(spark, path("scores")).collect()
+    assert sorted(r.schema for r in rows) == sorted(configs) and len({r.xor_result for r in rows}) == 1
+    cli.run(["learn", path("made/objects"), path("q.qry"), path("scores"), path("model.npz")])
+    capsys.readouterr()
+    cli.run(["predict", path("made/objects"), path("q.qry"), path("c.txt"), path("model.npz")])
+    cli.run(["accuracy", path("made/objects"), path("q.qry"), path("scores"), path("model.npz")])
+    out = capsys.readouterr().out
+    assert all(out.count(c) == 2 for c in configs) and "mae_log" in out
+    cli.run(["generate-O-stats", '{"card": 10, "dict": 5}', '{"card": 20, "dict": 5}', "3"])
+    made = json.loads(capsys.readouterr().out)
+    assert 9 <= made["card"] <= 22 and 4.5 <= made["dict"] <= 5.5
+    (tmp_path / "t.tsv").write_text("a\tb\n1\t2.0\n2\t3.0\n")
+    cli.run(["convert", path("t.tsv"), path("parquet"), "a long, b double"])
+    assert sum(spark.read.parquet(path(f"parquet/{x}")).count() for x in ("train", "val", "test")) == 2
