@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import overlaps
+from .postings import ONE_TASK, in_ranges, summed_before
 
 MODULUS = 2147483648
 
@@ -147,11 +148,22 @@ def until_selected(make: Callable[[int], DataFrame], answer: Callable[[DataFrame
     return out.join(keep, "qid", "left_semi")
 
 
-def without_results(elems: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Elements of one query with the extent of the next one in id order, where that has no result."""
-    order = Window.orderBy("qid")
+def without_results(elems: DataFrame, answer: Callable[[DataFrame], DataFrame], one_task: int = ONE_TASK) -> DataFrame:
+    """Elements of one query with the extent of the next one in id order, where that has no result.
+    Beyond ``one_task`` queries the order is by ranges, and the last of a range looks at the first
+    of the next."""
     heads = elems.select("qid", "q_start", "q_end").distinct()
-    moved = heads.select("qid", F.lead("q_start").over(order).alias("s"), F.lead("q_end").over(order).alias("e")).where("s is not null")
+    n = heads.count()
+    this = F.struct("q_start", "q_end")
+    if n <= one_task:
+        moved = heads.select("qid", F.lead(this).over(Window.orderBy("qid")).alias("to"))
+    else:
+        keyed = in_ranges(heads, F.col("qid"), n)
+        firsts = keyed.groupBy("range").agg(F.min_by(this, "qid").alias("first"))
+        firsts = firsts.select("range", F.lead("first").over(Window.orderBy("range")).alias("next"))
+        here = F.lead(this).over(Window.partitionBy("range").orderBy("qid"))
+        moved = keyed.join(F.broadcast(firsts), "range").select("qid", F.coalesce(here, "next").alias("to"))  # a row for each range
+    moved = moved.where("to is not null").select("qid", F.col("to.q_start").alias("s"), F.col("to.q_end").alias("e"))
     mixed = elems.join(moved, "qid").select("qid", F.col("s").alias("q_start"), F.col("e").alias("q_end"), "elem_id", "n")
     return mixed.join(answer(mixed).select("qid").distinct(), "qid", "left_anti")
 
@@ -241,10 +253,16 @@ def named_workload(postings: DataFrame, name: str, every: int, answer: Callable[
     return out
 
 
-def shuffled(elems: DataFrame, seed: int = 42) -> DataFrame:
-    """New query ids in an order by hash."""
-    heads = elems.select("qid").distinct()
-    fresh = heads.select("qid", (F.row_number().over(Window.orderBy(F.xxhash64("qid", F.lit(seed)), "qid")) - 1).cast("long").alias("fresh"))
+def shuffled(elems: DataFrame, seed: int = 42, one_task: int = ONE_TASK) -> DataFrame:
+    """New query ids in an order by draw; by ranges of it beyond ``one_task`` queries."""
+    heads = elems.select("qid").distinct().withColumn("drawn", draw(F.col("qid"), seed))
+    n = heads.count()
+    if n <= one_task:
+        fresh = heads.select("qid", (F.row_number().over(Window.orderBy("drawn", "qid")) - 1).cast("long").alias("fresh"))
+    else:
+        keyed = in_ranges(heads, F.struct("drawn", "qid"), n)
+        within = F.row_number().over(Window.partitionBy("range").orderBy("drawn", "qid"))
+        fresh = keyed.join(F.broadcast(summed_before(keyed, F.lit(1))), "range").select("qid", (F.col("before") + within - 1).cast("long").alias("fresh"))
     return elems.join(fresh, "qid").drop("qid").withColumnRenamed("fresh", "qid")
 
 

@@ -6,7 +6,7 @@ closed. Element ids are frequency ranks: 0 is the most frequent, so a high id is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Up to so many distinct elements one sorted task ranks them; beyond, ranges do.
@@ -23,21 +23,29 @@ def dictionary(tokens: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     return ranked(freq, n)
 
 
-def ranked(freq: DataFrame, n: int, ranges: int = RANGES) -> DataFrame:
-    """The same ranks by ranges: split points from a hash sample of bounded size, counts per range
-    (bounded), and a row number within each range."""
+def in_ranges(rows: DataFrame, key: Column, n: int, ranges: int = RANGES) -> DataFrame:
+    """rows + range: the number of the range of ``key`` that a row lies in, in the key's order.
+    Split points come from a hash sample of bounded size, so that every use of the rows agrees."""
     share = max(1, n // (64 * ranges))
-    sample = freq.where(F.pmod(F.xxhash64("elem"), F.lit(share)) == 0).select(F.struct((-F.col("freq")).alias("f"), "elem").alias("k"))
+    sample = rows.select(key.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(share)) == 0)
     step = max(1, sample.count() // ranges)
-    order = Window.orderBy("k")
-    cuts = sample.withColumn("i", F.row_number().over(order)).where(F.col("i") % step == 0).agg(F.sort_array(F.collect_list("k")).alias("cuts"))
-    keyed = freq.crossJoin(F.broadcast(cuts)).withColumn(  # one row of at most 64 x ranges points
-        "range", F.size(F.filter("cuts", lambda c: c < F.struct((-F.col("freq")).alias("f"), F.col("elem"))))
-    ).drop("cuts")
-    sizes = keyed.groupBy("range").agg(F.count("*").alias("size"))
-    before = sizes.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("before"))
+    cuts = sample.withColumn("i", F.row_number().over(Window.orderBy("k"))).where(F.col("i") % step == 0).agg(F.sort_array(F.collect_list("k")).alias("cuts"))
+    keyed = rows.crossJoin(F.broadcast(cuts))  # one row of at most 64 x ranges points
+    return keyed.withColumn("range", F.size(F.filter("cuts", lambda c: c < key))).drop("cuts")
+
+
+def summed_before(keyed: DataFrame, value: Column) -> DataFrame:
+    """(range, before): the sum of ``value`` over all ranges before, a row for each range."""
+    sizes = keyed.groupBy("range").agg(F.sum(value).alias("size"))
+    return sizes.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("before"))
+
+
+def ranked(freq: DataFrame, n: int, ranges: int = RANGES) -> DataFrame:
+    """The same ranks by ranges: counts per range, and a row number within each range."""
+    keyed = in_ranges(freq, F.struct((-F.col("freq")).alias("f"), F.col("elem")), n, ranges)
     within = F.row_number().over(Window.partitionBy("range").orderBy(F.desc("freq"), "elem"))
-    return keyed.join(F.broadcast(before), "range").select("elem", "freq", (F.col("before") + within - 1).cast("long").alias("elem_id"))
+    before = F.broadcast(summed_before(keyed, F.lit(1)))
+    return keyed.join(before, "range").select("elem", "freq", (F.col("before") + within - 1).cast("long").alias("elem_id"))
 
 
 def postings(tokens: DataFrame, words: DataFrame | None = None) -> DataFrame:

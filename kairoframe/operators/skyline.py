@@ -7,14 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .postings import ONE_TASK, in_ranges
 
-def skyline(rows: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+
+def skyline(rows: DataFrame, x: str, y: str, by: Sequence[str] = (), one_task: int = ONE_TASK) -> DataFrame:
     """Rows that no other row of their group beats: at most as much in both and less in one. By a
-    sort and a running minimum; equal points stay together. Nulls in x or y take no part."""
+    sort and a running minimum; equal points stay together. Nulls in x or y take no part. Without
+    groups and with over ``one_task`` values of x, the minimum runs by ranges of x."""
     own = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     points = own.groupBy(*by, x).agg(F.min(y).alias("__low"))
-    before = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    kept = points.withColumn("__least", F.min("__low").over(before)).where("__least is null or __low < __least").drop("__least")
+    ahead = Window.unboundedPreceding
+    if by or (n := points.count()) <= one_task:
+        points = points.withColumn("__least", F.min("__low").over(Window.partitionBy(*by).orderBy(x).rowsBetween(ahead, -1)))
+    else:
+        keyed = in_ranges(points, F.col(x), n)
+        lows = keyed.groupBy("range").agg(F.min("__low").alias("__own"))
+        lows = lows.select("range", F.min("__own").over(Window.orderBy("range").rowsBetween(ahead, -1)).alias("__before"))
+        within = F.min("__low").over(Window.partitionBy("range").orderBy(x).rowsBetween(ahead, -1))
+        points = keyed.join(F.broadcast(lows), "range").withColumn("__least", F.least("__before", within)).drop("range", "__before")  # a row for each range
+    kept = points.where("__least is null or __low < __least").drop("__least")
     return own.join(kept, [*by, x]).where(F.col(y) == F.col("__low")).select(*rows.columns)
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .postings import ONE_TASK, in_ranges, summed_before
+
 ELEMENT_BINS = 12
 EXTENT_BINS = 8
 MOST_ELEMENTS = 9
@@ -63,14 +65,20 @@ def element_bins(postings: DataFrame, bins: int = ELEMENT_BINS) -> DataFrame:
     )
 
 
-def extent_bins(postings: DataFrame, bins: int = EXTENT_BINS) -> DataFrame:
+def extent_bins(postings: DataFrame, bins: int = EXTENT_BINS, one_task: int = ONE_TASK) -> DataFrame:
     """Equal-count bins of the objects by (length, elements, id): lengths, mean number of elements
     and its log-normal deviation. The order is found by counts of equal (length, elements) pairs,
-    so that no task holds all objects."""
+    beyond ``one_task`` of them by ranges, so that no task holds all objects or pairs."""
     objects = object_sizes(postings)
     kinds = objects.groupBy("length", "n_elems").agg(F.count("*").alias("k"))
-    order = Window.orderBy("length", "n_elems")
-    spans = kinds.withColumn("after", F.sum("k").over(order)).withColumn("before", F.col("after") - F.col("k"))
+    n = kinds.count()
+    if n <= one_task:
+        spans = kinds.withColumn("after", F.sum("k").over(Window.orderBy("length", "n_elems")))
+    else:
+        keyed = in_ranges(kinds, F.struct("length", "n_elems"), n)
+        within = F.sum("k").over(Window.partitionBy("range").orderBy("length", "n_elems"))
+        spans = keyed.join(F.broadcast(summed_before(keyed, F.col("k"))), "range").withColumn("after", F.col("before") + within).drop("range")
+    spans = spans.withColumn("before", F.col("after") - F.col("k"))
     total = objects.agg(F.count("*").alias("card"))
     q, r = F.expr(f"card div {bins}"), F.expr(f"card % {bins}")
     edges = total.select("card", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select(

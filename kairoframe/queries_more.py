@@ -276,6 +276,12 @@ def gen_skewed(p: DataFrame, q: DataFrame) -> DataFrame:
     return generate.queries_from_objects(p, ASK["basket"][0], 25, 2, None, (0.4, 0.7))
 
 
+@add("gen_shuffled", base("session") + f", h AS (SELECT qid, row_number() OVER (ORDER BY {generate.draw_sql('qid', 42)}, qid) - 1 AS fresh FROM (SELECT DISTINCT qid FROM q)) SELECT fresh AS qid, q_start, q_end, elem_id, n FROM q JOIN h USING (qid)")
+@on("session")
+def gen_shuffled(p: DataFrame, q: DataFrame) -> DataFrame:
+    return generate.shuffled(q).select("qid", "q_start", "q_end", "elem_id", "n")
+
+
 @add(
     "gen_compound_counts",
     "WITH n AS (SELECT count(*) % 97 + 10 AS total FROM orders), w AS (SELECT o_orderkey % 4 AS part, count(*)::DOUBLE AS weight FROM orders GROUP BY 1), "

@@ -207,3 +207,17 @@ def test_append_stream(spark, tmp_path):
     rows = append.read_appended(spark, target)
     assert rows.select("rec_id", "elem_id").distinct().count() == 4
     assert rows.where("band = 0").select("rec_id").distinct().count() == 1
+
+
+def test_orders_by_ranges(spark):
+    """Running sums, minima, next rows and ranks by ranges equal those of one task."""
+    rng = random.Random(8)
+    p = explode_objects(generate.objects(spark, 700, 5000, 60, 4))
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(stats.extent_bins(p), stats.extent_bins(p, one_task=1))
+    points = spark.createDataFrame([(rng.random(), rng.random() + 0.1) for _ in range(900)], "x double, y double")
+    assert same(skyline.skyline(points, "x", "y"), skyline.skyline(points, "x", "y", one_task=1))
+    elems = generate.queries_from_objects(p, 3, 40)
+    assert same(generate.shuffled(elems), generate.shuffled(elems, one_task=1))
+    answer = lambda e: query.core(p, e)
+    assert same(generate.without_results(elems, answer), generate.without_results(elems, answer, one_task=1))
