@@ -46,9 +46,11 @@ def rarest_first(postings: DataFrame, elems: DataFrame) -> DataFrame:
     return candidates.where("n = 1").select("qid", "rec_id").unionByName(full)
 
 
-def interval_only(objects: DataFrame, queries: DataFrame, pages: int = 64) -> DataFrame:
+def interval_only(objects: DataFrame, queries: DataFrame, pages: int | None = None) -> DataFrame:
     """Overlap alone, by pages of time: both sides are dealt to the pages that they span, and a
-    pair counts in the first page that the two share."""
+    pair counts in the first page that the two share. There are 64 pages at least and, where not
+    told otherwise, one for every 50,000 objects."""
+    pages = pages or max(64, min(1 << 16, objects.count() // 50_000))
     lo = objects.agg(F.min("t_start").alias("g0"), F.max("t_end").alias("g1")).withColumn("ext", F.greatest(F.lit(1), F.ceil((F.col("g1") - F.col("g0") + 1) / pages)))
     page = lambda t: F.greatest(F.lit(0), F.least(F.lit(pages - 1), F.expr(f"({t} - g0) div ext")))
     o = objects.crossJoin(F.broadcast(lo)).withColumn("first", page("t_start"))  # one row
