@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import Files, shared_root
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,17 +23,6 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; our own only where that is unset and all runs on
-    one machine, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
-    return root.rstrip("/")
-
-
 class Scratch:
     """Written tables that cut lineage: each is computed once, lives in the shared folder and
     outlasts the loss of any executor. ``drop`` and ``keep`` free the ones that no later step reads."""
@@ -53,11 +41,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        files = Files(self.spark)
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            files.delete(self.path(name))
             self.names.discard(name)
 
     def keep(self, *names: str) -> None:
