@@ -679,9 +679,28 @@ def grid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.best(_bowl(search.grid(spark, _LO, _HI, 6)), 20).select(F.round("cost", 9).alias("cost"))
 
 
-@add("grid_search")
+def _search_sql() -> str:
+    """The rounds of a search of four open places, in the order of its own arithmetic."""
+    names = ("alpha", "beta", "boundary", "levels")
+    lo, hi = _LO[4:], _HI[4:]
+    points, keep = search.ROUNDS[0]
+    first = ", ".join(f"{a!r}::DOUBLE + (i // {points**j} % {points}) * {(z - a) / (points - 1)!r}::DOUBLE AS {n}" for j, (n, a, z) in enumerate(zip(names, lo, hi, strict=True)))
+    cols = ", ".join(names)
+    out = f"WITH r0 AS (SELECT {first} FROM range({points**4}) t(i)), k0 AS (SELECT {cols}, {_BOWL} AS cost FROM r0 ORDER BY cost, {cols} LIMIT {keep})"
+    radius = [(z - a) / (points - 1) / 2 for a, z in zip(lo, hi, strict=True)]
+    for i, (points, keep) in enumerate(search.ROUNDS[1:], 1):
+        steps = [f"(VALUES {', '.join(f'({float(-r + 2 * r * k / (points - 1))!r}::DOUBLE)' for k in range(points))}) d_{n}(s_{n})" for n, r in zip(names, radius, strict=True)]
+        moved = ", ".join(f"greatest({a!r}::DOUBLE, least({z!r}::DOUBLE, {n} + s_{n})) AS {n}" for n, a, z in zip(names, map(float, lo), map(float, hi), strict=True))
+        out += f", r{i} AS (SELECT DISTINCT {moved} FROM k{i - 1}, {', '.join(steps)}), k{i} AS (SELECT * FROM (SELECT {cols}, {_BOWL} AS cost FROM r{i} UNION ALL SELECT * FROM k{i - 1}) ORDER BY cost, {cols} LIMIT {keep})"
+        radius = [r / (points - 1) for r in radius]
+    return out + " SELECT " + ", ".join(f"round({n}, 6) AS {n}" for n in names) + f", round(cost, 9) AS cost FROM k{len(search.ROUNDS) - 1}"
+
+
+@add("grid_search", _search_sql())
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(spark, _LO, _HI, _bowl)
+    """All rounds of the search."""
+    found = search.search(spark, _LO, _HI, _bowl)
+    return found.select(*(F.round(F.get("encoding", 4 + i), 6).alias(n) for i, n in enumerate(("alpha", "beta", "boundary", "levels"))), F.round("cost", 9).alias("cost"))
 
 
 @add(

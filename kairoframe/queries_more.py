@@ -14,7 +14,7 @@ from .operators.postings import collect_objects, explode_objects
 from .plans import schema
 from .plans.engine import Collection
 from .plans.layout import StoredLayout
-from .queries import ASK, CORE, SCORES, _core_sql, add, base, on, scores
+from .queries import ASK, CORE, ORACLES, SCORES, _core_sql, _features, add, base, on, scores
 from .sources import files
 from .sources.stored import shared_root
 
@@ -276,6 +276,59 @@ def gen_skewed(p: DataFrame, q: DataFrame) -> DataFrame:
     return generate.queries_from_objects(p, ASK["basket"][0], 25, 2, None, (0.4, 0.7))
 
 
+def _drawn(names: list[str], every: int) -> str:
+    """SQL of named workloads whose elements may have any frequency."""
+    parts = []
+    for i, name in enumerate(names):
+        w, salt = generate.WORKLOADS[name], 20 * i
+        at = lambda k: generate.draw_sql("rec_id", k + salt)  # noqa: B023, E731
+        lo, hi = ([x[j] / 100 for x in w["ext"]] for j in (0, 1))
+        parts.append(f"""SELECT '{name}' AS workload, rec_id, elem_id, t_start, t_end, g0, g1, {w['cnt']}[1 + {at(1)} % {len(w['cnt'])}] AS k,
+          floor({lo}[1 + {at(2)} % {len(lo)}]::DOUBLE * (g1 - g0))::BIGINT AS xlo, floor({hi}[1 + {at(2)} % {len(hi)}]::DOUBLE * (g1 - g0))::BIGINT AS xhi, {at(3)} AS d3, {at(4)} AS d4,
+          g0 + floor((g1 - g0) * {w['skew'][0] / 100}::DOUBLE)::BIGINT AS w0, g0 + floor((g1 - g0) * {w['skew'][1] / 100}::DOUBLE)::BIGINT AS w1,
+          row_number() OVER (PARTITION BY rec_id ORDER BY {generate.draw_sql('rec_id * 31 + elem_id', salt)}, elem_id) AS i, count(*) OVER (PARTITION BY rec_id) AS size
+          FROM p, dom WHERE rec_id % {every} = 0 AND (rec_id // {every}) % {len(names)} = {i}""")
+    return f""", dr AS ({' UNION ALL '.join(parts)}),
+    ex AS (SELECT *, greatest(1, xlo + d3 % (xhi - xlo + 1)) AS ext FROM dr WHERE k <= size AND i <= k),
+    se AS (SELECT *, greatest(g0, t_start - ext, w0 - ext) AS s0, least(g1 - ext, t_end, w1) AS s1 FROM ex WHERE t_end >= w0 AND t_start <= w1)
+    SELECT workload, rec_id AS qid, s0 + d4 % (s1 - s0 + 1) AS q_start, s0 + d4 % (s1 - s0 + 1) + ext AS q_end, elem_id, k::BIGINT AS n FROM se WHERE s0 <= s1"""
+
+
+_NAMED = ["BASE", "LONG", "SHORT", "FEW", "MANY", "BROAD", "RND2", "H3"]
+
+
+@add("gen_workloads_any_frequency", base("basket") + _drawn(_NAMED, 5))
+@on("basket")
+def gen_workloads_any_frequency(p: DataFrame, q: DataFrame) -> DataFrame:
+    """Named workloads, as one compound, query by query."""
+    return generate.named_workload(p, "+".join(_NAMED), 5).select("workload", "qid", "q_start", "q_end", "elem_id", "n")
+
+
+def _feature_sql() -> str:
+    own = lambda name, fixture: ORACLES[name].replace(base(fixture), base("basket"))
+    extents = own("extent_bins", "session").replace("round(avg(n_elems), 6)", "avg(n_elems)").replace("round(greatest(0.1, avg", "greatest(0.1, avg").replace("- 1)), 5)", "- 1))")
+    log = lambda x: f"CASE WHEN {x} > 0 THEN log10({x}) ELSE 0 END"
+    space = schema.design_space(["pure", "dict2"])
+    codes = ", ".join(f"('{n}', {lo})" for _, n, lo, _ in space)
+    ranks = ", ".join(f"rank_{i}" for i in range(9))
+    return f"""WITH su AS ({ORACLES['ostats_summary']}), xb AS ({extents}), eb AS ({own('elem_bins', 'archive')}), qs AS ({ORACLES['qstats']}), enc(config, code) AS (VALUES {codes}),
+    fixed AS (SELECT 0 AS place, card_log AS v FROM su UNION ALL SELECT 1, domain_log FROM su
+      UNION ALL SELECT 2 + 3 * bin, {log('max_len')} FROM xb UNION ALL SELECT 3 + 3 * bin, {log('avg_elems')} FROM xb UNION ALL SELECT 4 + 3 * bin, {log('dev_elems')} FROM xb
+      UNION ALL SELECT 26 + i, coalesce(v, 0) FROM range(12) t(i) LEFT JOIN (SELECT row_number() OVER (ORDER BY bin) - 1 AS i, {log('post_ratio * 100')} AS v FROM eb) USING (i)),
+    asked AS (SELECT qid, unnest([start_rel, coalesce(extent_log, -9), {ranks}]) AS v, unnest(range(38, 49)) AS place FROM qs),
+    codes AS (SELECT config, unnest(code) AS v, unnest(range(49, 57)) AS place FROM enc)
+    SELECT qid, config, place::BIGINT AS place, round(v, 6) + 0.0 AS value FROM (
+      SELECT qid, config, place, v::DOUBLE AS v FROM asked, enc UNION ALL SELECT qid, config, place, v::DOUBLE FROM qs, codes UNION ALL SELECT qid, config, place, v::DOUBLE FROM qs, enc, fixed)"""
+
+
+@add("lcm_feature_values", _feature_sql())
+@on("basket")
+def lcm_feature_values(p: DataFrame, q: DataFrame) -> DataFrame:
+    """All places of the features of all queries and configurations."""
+    rows = _features(p.sparkSession, p, q)
+    return rows.select("qid", "config", F.posexplode("features").alias("place", "v")).select("qid", "config", F.col("place").cast("long").alias("place"), (F.round("v", 6) + 0.0).alias("value"))
+
+
 @add("gen_shuffled", base("session") + f", h AS (SELECT qid, row_number() OVER (ORDER BY {generate.draw_sql('qid', 42)}, qid) - 1 AS fresh FROM (SELECT DISTINCT qid FROM q)) SELECT fresh AS qid, q_start, q_end, elem_id, n FROM q JOIN h USING (qid)")
 @on("session")
 def gen_shuffled(p: DataFrame, q: DataFrame) -> DataFrame:
