@@ -91,6 +91,19 @@ def template(schema: Column) -> Column:
     return F.regexp_replace(schema, r"(;?-?[0-9.]+)+(?=\"|$)", "")
 
 
+def template_name(schema: Column) -> Column:
+    """What a configuration in JSON is an instance of: the kind of its composition, and its methods
+    without their numbers. Text without a method is an error."""
+    plain = lambda m: F.regexp_replace(m, r"(;[-+.0-9]*[0-9][-+.0-9]*)+$", "")
+    methods = lambda text: F.transform(F.regexp_extract_all(text, F.lit(r'"method":"([^"]*)"'), F.lit(1)), plain)
+    below = methods(F.regexp_extract(schema, r'(?s)"fanout":(.*)$', 1))
+    kind = F.when(schema.contains('"refine":"elemfreq"'), "dref-p-").when(schema.contains('"split":"temporal"'), "tspl-p-").when(schema.contains('"slice":"temporal"'), "tsli-p-")
+    unknown = F.raise_error(F.concat(F.lit("no template for "), schema)).cast("string")
+    composed = F.concat(F.coalesce(kind, unknown), F.size(below).cast("string"), F.lit(": { "), F.array_join(below, " | "), F.lit(" }"))
+    alone = F.concat(F.lit("pure-unp: "), F.coalesce(F.get(methods(schema), 0), unknown))
+    return F.when(schema == "", "").when(schema.contains('"fanout":'), composed).otherwise(alone)
+
+
 def relative(scores: DataFrame, by: Sequence[str] = ("objects", "queries")) -> DataFrame:
     """Throughput and size in percent of the group's fastest entry's."""
     best = scores.groupBy(*by).agg(F.max(F.struct("qps", (-F.col("size_mb")).alias("s"))).alias("b"))

@@ -137,3 +137,11 @@ def band_stats(objects: DataFrame, bands: list[tuple[int, int]]) -> DataFrame:
     hits = F.array_compact(F.array(*(F.when((F.col("t_start") <= hi) & (F.col("t_end") >= lo), F.struct(F.lit(i).cast("long").alias("band"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))) for i, (lo, hi) in enumerate(bands))))
     rows = objects.withColumn("b", F.explode(hits)).select(F.col("b.band").alias("band"), "n_elems", (F.least("t_end", "b.hi") - F.greatest("t_start", "b.lo")).alias("length"))
     return rows.groupBy("band").agg(F.count("*").alias("objects"), F.avg("length").alias("avg_length"), F.avg("n_elems").alias("avg_elems"))
+
+
+def in_bands(rows: DataFrame, bands: list[tuple[int, int]], start: str, end: str) -> DataFrame:
+    """rows + band: one row for each closed band that an interval overlaps, with the interval cut to
+    the band and told in the band's own time."""
+    hits = F.array_compact(F.array(*(F.when((F.col(start) <= hi) & (F.col(end) >= lo), F.struct(F.lit(i).cast("long").alias("i"), F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi"))) for i, (lo, hi) in enumerate(bands))))
+    cut = rows.withColumn("__b", F.explode(hits))
+    return cut.withColumn("band", F.col("__b.i")).withColumn(start, F.greatest(start, "__b.lo") - F.col("__b.lo")).withColumn(end, F.least(end, "__b.hi") - F.col("__b.lo")).drop("__b")

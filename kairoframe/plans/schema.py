@@ -38,7 +38,73 @@ TEMPLATES = {
             "fanout": [{"range": "[0.5-0.9]-1", "method": "tif;slicing;a;dyn;[1.8-2.6];[0.3-0.9]"}, {"range": "0-p", "method": "irhint;perf;[4-15]"}],
         },
     },
+    "obsolete": {
+        "pure_tif+basic": {"method": "tif;basic"},
+        "pure_tif+sharding": {"method": "tif;sharding;dyn;[1.8-2.8];[0.3-1.6]"},
+        "refine-elemfreq_tif+basic_tif+hint_irhint": {
+            "refine": "elemfreq",
+            "fanout": [{"range": "[0.8-0.95]-1", "method": "tif;basic"}, {"range": "[0.65-0.78]-p", "method": "tif;hint;mrg;dyn;[1.3-4.0];[0.5-4.0]"}, {"range": "0-p", "method": "irhint;perf;[7-15]"}],
+        },
+        "refine-elemfreq_tif+basic_tif+slicing_irhint": {
+            "refine": "elemfreq",
+            "fanout": [{"range": "[0.8-0.95]-1", "method": "tif;basic"}, {"range": "[0.65-0.78]-p", "method": "tif;slicing;a;dyn;[1.8-2.6];[0.3-0.9]"}, {"range": "0-p", "method": "irhint;perf;[7-15]"}],
+        },
+        "refine-elemfreq_tif+hint_irhint": {
+            "refine": "elemfreq",
+            "fanout": [{"range": "[0.65-0.95]-1", "method": "tif;hint;mrg;dyn;[1.3-4.0];[0.5-4.0]"}, {"range": "0-p", "method": "irhint;perf;[5-15]"}],
+        },
+        "split-temporal_irhint_irhint_irhint": {
+            "split": "temporal",
+            "fanout": [{"range": "[0.75-0.95]-1", "method": "irhint;perf;[2-8]"}, {"range": "0-p", "method": "irhint;perf;[2-8]"}, {"range": "0-1", "method": "irhint;perf;[2-5]"}],
+        },
+        "split-temporal_tif+hint_irhint_irhint": {
+            "split": "temporal",
+            "fanout": [{"range": "[0.75-0.95]-1", "method": "tif;hint;mrg;dyn;[1.3-4.0];[0.5-4.0]"}, {"range": "0-p", "method": "irhint;perf;[4-9]"}, {"range": "0-1", "method": "irhint;perf;[2-5]"}],
+        },
+        "split-temporal_tif+slicing_irhint_irhint": {
+            "split": "temporal",
+            "fanout": [{"range": "[0.75-0.95]-1", "method": "tif;slicing;a;dyn;[1.8-2.6];[0.3-0.9]"}, {"range": "0-p", "method": "irhint;perf;[4-9]"}, {"range": "0-1", "method": "irhint;perf;[2-5]"}],
+        },
+        "split-temporal_tif+basic_irhint_irhint": {
+            "split": "temporal",
+            "fanout": [{"range": "[0.75-0.95]-1", "method": "tif;basic"}, {"range": "0-p", "method": "irhint;perf;[5-10]"}, {"range": "0-1", "method": "irhint;perf;[2-7]"}],
+        },
+        "split-temporal_tif+basic_irhint_tif+slicing": {
+            "split": "temporal",
+            "fanout": [{"range": "[0.75-0.95]-1", "method": "tif;basic"}, {"range": "0-p", "method": "irhint;perf;[5-10]"}, {"range": "0-1", "method": "tif;slicing;a;dyn;[1.8-2.6];[0.3-0.9]"}],
+        },
+        "split-temporal_tif+basic_irhint": {"split": "temporal", "fanout": [{"range": "[0.75-0.95]-1", "method": "tif;basic"}, {"range": "0-1", "method": "irhint;perf;[4-12]"}]},
+        "split-temporal_tif+slicing_irhint": {
+            "split": "temporal",
+            "fanout": [{"range": "[0.75-0.95]-1", "method": "tif;slicing;a;dyn;[1.8-2.6];[0.3-0.9]"}, {"range": "0-1", "method": "irhint;perf;[4-13]"}],
+        },
+        "split-temporal_tif+hint_irhint": {
+            "split": "temporal",
+            "fanout": [{"range": "[0.75-0.95]-1", "method": "tif;hint;mrg;dyn;[1.3-4.0];[0.5-4.0]"}, {"range": "0-1", "method": "irhint;perf;[4-12]"}],
+        },
+        "split-temporal_irhint_irhint": {"split": "temporal", "fanout": [{"range": "[0.75-0.95]-1", "method": "irhint;perf;[4-12]"}, {"range": "0-1", "method": "irhint;perf;[4-12]"}]},
+        "slice-temporal_tif+basic_irhint": {"slice": "temporal", "fanout": [{"range": "[0.75-0.95]-1", "method": "tif;basic"}, {"range": "0-p", "method": "irhint;perf;[4-14]"}]},
+        "slice-temporal_tif+slicing_irhint": {
+            "slice": "temporal",
+            "fanout": [{"range": "[0.75-0.95]-1", "method": "tif;slicing;a;dyn;[1.8-2.6];[0.3-0.9]"}, {"range": "0-p", "method": "irhint;perf;[4-14]"}],
+        },
+        "slice-temporal_tif+hint_irhint": {
+            "slice": "temporal",
+            "fanout": [{"range": "[0.75-0.95]-1", "method": "tif;hint;mrg;dyn;[1.3-4.0];[0.5-4.0]"}, {"range": "0-p", "method": "irhint;perf;[4-14]"}],
+        },
+        "slice-temporal_irhint_tif+basic": {"slice": "temporal", "fanout": [{"range": "[0.75-0.95]-1", "method": "irhint;perf;[4-14]"}, {"range": "0-p", "method": "tif;basic"}]},
+        "slice-temporal_irhint_tif+slicing": {
+            "slice": "temporal",
+            "fanout": [{"range": "[0.75-0.95]-1", "method": "irhint;perf;[4-14]"}, {"range": "0-p", "method": "tif;slicing;a;dyn;[1.8-2.6];[0.3-0.9]"}],
+        },
+        "slice-temporal_irhint_tif+hint": {
+            "slice": "temporal",
+            "fanout": [{"range": "[0.75-0.95]-1", "method": "irhint;perf;[4-13]"}, {"range": "0-p", "method": "tif;hint;mrg;dyn;[1.3-4.0];[0.5-4.0]"}],
+        },
+    },
 }
+#: The groups whose schemas have an encoding.
+ENCODED = ("pure", "dict2", "temp+dict2")
 
 
 @dataclass
@@ -122,7 +188,7 @@ def encode(schema: Schema) -> list[float]:
         first, boundary, levels = schema.method, 0.0, -1.0
     elif schema.refine == "elemfreq":
         kinds = {c.method[0]: c for c in schema.fanout if c.method}
-        if set(kinds) != {"tif", "irhint"}:
+        if len(schema.fanout) != 2 or set(kinds) != {"tif", "irhint"}:
             raise ValueError("two children are encoded: one element first, one time first")
         first, levels = kinds["tif"].method, float(kinds["irhint"].method[2])
         boundary = float(kinds["tif"].range.split("-")[0])
@@ -228,10 +294,11 @@ def corners(template: dict) -> tuple[Schema, Schema]:
 
 
 def design_space(groups: list[str] | None = None, templates: dict = TEMPLATES) -> list[tuple[str, str, list[float], list[float]]]:
-    """(group, template, lower encoding, upper encoding) of all templates in the groups."""
+    """(group, template, lower encoding, upper encoding) of all templates in the groups, by default
+    of those that have an encoding."""
     out = []
     for group, own in templates.items():
-        if groups is None or group in groups:
+        if group in (ENCODED if groups is None else groups):
             for name, template in own.items():
                 for spec in closure(template):
                     lo, hi = corners(spec)

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import costmodel, search, skyline, stats
+from ..operators import costmodel, search, skyline, slices, stats
 from ..operators.query import core
 from . import schema
 
@@ -62,3 +62,29 @@ def verified(postings: DataFrame, elems: DataFrame, config: str) -> bool:
 
     got, want = answer(postings, elems, config), core(postings, elems)
     return not got.exceptAll(want).limit(1).count() and not want.exceptAll(got).limit(1).count()
+
+
+def synthesize_bands(spark: SparkSession, postings: DataFrame, elems: DataFrame, net: costmodel.Network, bands: Sequence[tuple[int, int]], groups: Sequence[str] = ("pure", "dict2"), rounds: Sequence[tuple[int, int]] = search.ROUNDS) -> str:
+    """A banded configuration: of every band the cheapest one for the parts of objects and queries
+    that lie in it. A band without objects or queries takes its neighbour's. ``bands`` are closed, in
+    order, and cover the domain."""
+    objects = slices.in_bands(postings, list(bands), "t_start", "t_end")
+    queries = slices.in_bands(elems, list(bands), "q_start", "q_end")
+    found = []
+    for i in range(len(bands)):
+        p, q = objects.where(F.col("band") == i).drop("band"), queries.where(F.col("band") == i).drop("band")
+        if p.limit(1).count() and q.limit(1).count():
+            config, cost = suggestions(synthesize(spark, p, q, net, groups, rounds), 1)[0]
+            found.append((i, config, cost))
+    if not found:
+        raise ValueError("no band has objects and queries")
+    best = spark.createDataFrame(found, "band long, config string, cost double")
+    filled = skyline.fill_bands(best, spark.range(len(bands)).select(F.col("id").alias("band"))).orderBy("band").collect()
+    lo, hi = bands[0][0], bands[-1][1]
+    rel = lambda t: schema._number((t - lo) / max(1, hi - lo))
+    out = []
+    for (a, z), row in zip(bands, filled, strict=True):
+        one = schema.parse(row.config)[0]
+        one.band_range = f"{rel(a - (a > lo))}-{rel(z)}"
+        out.append(one)
+    return schema.serialize(out)

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import generate, query, search, skyline, stats
+from .operators import generate, query, search, skyline, slices, stats
 from .operators.postings import collect_objects, explode_objects
 from .plans import schema
 from .plans.engine import Collection
@@ -446,6 +446,39 @@ def config_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "seed long, inside boolean, joined boolean")
 
 
+_CHILD = """'{"range":"0.7-1","method":"tif;slicing;a;dyn;' || qps || ';-0.5"},{"range":"0-0.7","method":"irhint;perf;' || xor_result || '"}'"""
+_JSON = f"""CASE xor_result % 5 WHEN 0 THEN '{{"method":"tif;basic"}}' WHEN 1 THEN '{{"method":"tif;hint;mrg;dyn;' || size_mb || ';2.5"}}'
+  ELSE '{{' || (['"refine":"elemfreq"', '"split":"temporal"', '"slice":"temporal"'])[xor_result % 5 - 1] || ',"fanout":[' || {_CHILD} || ']}}' END"""
+_NAME = """CASE xor_result % 5 WHEN 0 THEN 'pure-unp: tif;basic' WHEN 1 THEN 'pure-unp: tif;hint;mrg;dyn' WHEN 2 THEN 'dref-p-2: { tif;slicing;a;dyn | irhint;perf }'
+  WHEN 3 THEN 'tspl-p-2: { tif;slicing;a;dyn | irhint;perf }' ELSE 'tsli-p-2: { tif;slicing;a;dyn | irhint;perf }' END"""
+
+
+@add("score_template_names", SCORES + f"SELECT {_NAME} AS template, count(*) AS n, max(qps) AS qps FROM s GROUP BY 1")
+def score_template_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scores(spark, sf_dir).withColumn("config", F.expr(_JSON.replace("[xor_result % 5 - 1]", "[xor_result % 5 - 2]").replace("(['", "array('").replace("'])[", "')[")))
+    return rows.groupBy(skyline.template_name(F.col("config")).alias("template")).agg(F.count("*").alias("n"), F.max("qps").alias("qps"))
+
+
+_BANDS = [(0, 400), (401, 1200), (1201, 5000)]
+
+
+def _cut(table: str, start: str, end: str, rest: str) -> str:
+    return " UNION ALL ".join(f"SELECT {i}::BIGINT AS band, {rest}, greatest({start}, {lo}) - {lo} AS {start}, least({end}, {hi}) - {lo} AS {end} FROM {table} WHERE {start} <= {hi} AND {end} >= {lo}" for i, (lo, hi) in enumerate(_BANDS))
+
+
+@add("band_objects", base("basket") + _cut("obj", "t_start", "t_end", "rec_id, n_elems"))
+@on("basket")
+def band_objects(p: DataFrame, q: DataFrame) -> DataFrame:
+    """Objects cut to bands, in each band's own time."""
+    return slices.in_bands(stats.object_sizes(p).select("rec_id", "n_elems", "t_start", "t_end"), _BANDS, "t_start", "t_end")
+
+
+@add("band_queries", base("basket") + _cut("q", "q_start", "q_end", "qid, elem_id, n"))
+@on("basket")
+def band_queries(p: DataFrame, q: DataFrame) -> DataFrame:
+    return slices.in_bands(q.select("qid", "elem_id", "n", "q_start", "q_end"), _BANDS, "q_start", "q_end")
+
+
 # ---- search and presentation
 
 _BY_COST = SCORES + ", g AS (SELECT schema, log10(avg(power(10.0::DOUBLE, log10(1 / qps)))) AS cost, log10(avg(power(10.0::DOUBLE, log10(size_mb)))) AS size FROM s GROUP BY schema)"

@@ -94,3 +94,11 @@ def test_measured_runs_and_the_model(spark, tmp_path, capsys):
     (tmp_path / "t.tsv").write_text("a\tb\n1\t2.0\n2\t3.0\n")
     cli.run(["convert", path("t.tsv"), path("parquet"), "a long, b double"])
     assert sum(spark.read.parquet(path(f"parquet/{x}")).count() for x in ("train", "val", "test")) == 2
+
+
+def test_a_configuration_for_each_band(spark):
+    p = explode_objects(generate.objects(spark, 200, 5000, 40, 4))
+    elems = generate.queries_from_objects(p, 20, 50)
+    config = synthesis.synthesize_bands(spark, p, elems, costmodel.Network.fresh(), [(0, 1500), (1501, 2500), (2501, 5000)], ["pure"], ((2, 2),))
+    assert [s["band_range"] for s in json.loads(config)] == ["0-0.3", "0.3-0.5", "0.5-1"]
+    assert synthesis.verified(p, elems, config)

@@ -84,8 +84,8 @@ def test_single_methods_decode(method):
 
 
 def test_design_space_and_instances():
-    for group, own in schema.TEMPLATES.items():
-        for template in own.values():
+    for group in schema.ENCODED:
+        for template in schema.TEMPLATES[group].values():
             lo, hi = schema.corners(template)
             for seed in range(10):
                 s = schema.instantiate(template, seed)
@@ -221,3 +221,18 @@ def test_orders_by_ranges(spark):
     assert same(generate.shuffled(elems), generate.shuffled(elems, one_task=1))
     answer = lambda e: query.core(p, e)
     assert same(generate.without_results(elems, answer), generate.without_results(elems, answer, one_task=1))
+
+
+def test_every_template_has_sane_instances_that_answer(spark):
+    """Also those that have no encoding: random parameters, built and asked."""
+    from kairoframe.plans.engine import answer
+
+    p = explode_objects(generate.objects(spark, 60, 300, 20, 3))
+    elems = generate.queries_from_objects(p, 10, 30)
+    want = sorted(map(tuple, query.core(p, elems).collect()))
+    for name in ("split-temporal_tif+basic_irhint_tif+slicing", "slice-temporal_irhint_tif+hint", "refine-elemfreq_tif+basic_tif+hint_irhint", "pure_tif+sharding"):
+        config = schema.serialize(schema.instantiate(schema.TEMPLATES["obsolete"][name], 5))
+        assert sorted(map(tuple, answer(p, elems, config).collect())) == want, config
+    for group in schema.TEMPLATES.values():
+        for template in group.values():
+            assert schema.sane(schema.instantiate(template, 3))
