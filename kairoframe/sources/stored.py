@@ -7,10 +7,12 @@ change; untouched partitions are neither read nor written.
 
 from __future__ import annotations
 
+import atexit
+import functools
 import hashlib
 import json
-import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -26,10 +28,18 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+        root = f"file://{_own_folder()}"
     return root.rstrip("/")
 
 
+@functools.cache
+def _own_folder() -> str:
+    """A folder of this process, gone when it ends."""
+    folder = tempfile.mkdtemp(prefix="checkpoints-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 class Files:
     """The few calls on a folder that every filesystem of Spark's has."""
 
