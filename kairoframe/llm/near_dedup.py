@@ -44,6 +44,7 @@ BLOCK = 4_096
 TIGHT = 0.6
 PIVOTS = 16
 BATCH_BYTES = 1 << 20
+COLUMNS = 2_048
 
 _U = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -306,24 +307,35 @@ def forest(sketches: np.ndarray, percent: int) -> list[tuple[int, int]]:
 
 
 def candidates(ids: np.ndarray, part: np.ndarray, probe: np.ndarray, sketches: np.ndarray, refused: list, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member outside the largest part its untested candidates of other parts, the
-    likeliest first; of two such members the one with the smaller id tells. Where only some are
-    probes, the candidates of each probe among the others."""
+    """For each member outside the largest part its untested candidates of other parts; of two such
+    members the one with the smaller id tells. Where only some are probes, the candidates of each
+    probe among the others."""
     kinds, count = np.unique(part, return_counts=True)
     if len(kinds) == 1:
         return
-    major = part == kinds[count.argmax()] if probe.all() else ~probe
-    tested = {(int(a), b) for a, own in zip(ids, refused, strict=True) for b in own or ()}
+    every = probe.all()
+    major = part == kinds[count.argmax()] if every else ~probe
+    order = np.argsort(ids)
+    tested: dict[int, list[int]] = {}
+    for i, own in enumerate(refused):
+        for b in own or ():
+            at = int(np.searchsorted(ids[order], b))
+            if at < len(ids) and ids[order[at]] == b:
+                tested.setdefault(i, []).append(int(order[at]))
+                tested.setdefault(int(order[at]), []).append(i)
     for i in np.flatnonzero(~major).tolist():
-        other = np.flatnonzero((part != part[i]) & (major | (ids > ids[i]) & probe.all()))
-        share, may = similar(sketches[other], sketches[i], percent)
-        other, share = other[may], share[may]
-        if tested and len(other):
-            me = int(ids[i])
-            fresh = np.array([(min(me, o), max(me, o)) not in tested for o in ids[other].tolist()])
-            other, share = other[fresh], share[fresh]
+        other = np.flatnonzero((part != part[i]) & (major | (ids > ids[i]) & every))
+        if i in tested:
+            other = other[~np.isin(other, tested[i])]
         if len(other):
-            yield i, other[np.lexsort((ids[other], -share))]
+            may = other[similar(sketches[other], sketches[i], percent)[1]]
+            if len(may):
+                yield i, may
+
+
+def tasks_of(rows: DataFrame) -> int:
+    """Partitions for work that costs more than its bytes tell: a number, so that it is kept."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _arrays(node: pa.Table):
@@ -343,7 +355,7 @@ def candidate_pairs(members: DataFrame, percent: int) -> DataFrame:
             left, right = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    ordered = members.select("node", "rep", "sketch").repartition("node").sortWithinPartitions("node")
+    ordered = members.select("node", "rep", "sketch").repartition(tasks_of(members), "node").sortWithinPartitions("node")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -364,44 +376,50 @@ def open_members(members: DataFrame, percent: int) -> DataFrame:
                     own = node.select(["node", "rep", "part", "probe"]).filter(pa.array(keep)).combine_chunks()
                     yield from own.to_batches()
 
-    ordered = members.select("node", "rep", "part", "probe", "sketch", "refused").repartition("node").sortWithinPartitions("node")
+    ordered = members.select("node", "rep", "part", "probe", "sketch", "refused").repartition(tasks_of(members), "node").sortWithinPartitions("node")
     return ordered.mapInArrow(run, "node long, rep long, part long, probe boolean")
 
 
 def links_of_sets(sets: list[np.ndarray], part: np.ndarray, percent: int, probe: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join parts, from all pairs of sets by their shared members: a spanning forest.
-    Where only some are probes, from the pairs of a probe and another set."""
-    size = np.array([len(s) for s in sets])
-    some = probe is not None and not probe.all()
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    until = np.r_[first[1:], len(flat)]
-    kinds = flat[first]
-    group = {int(p): int(p) for p in part}
-
-    def root(p: int) -> int:
-        while group[p] != p:
-            group[p] = p = group[group[p]]
-        return p
+    """Links that join parts, exhaustively from the sizes of all intersections: a spanning forest.
+    Where only some are probes, from the pairs of a probe and another set.
 
+    Members of many sets, as those of a template, are counted by products of 0-1 matrices, a
+    bounded number of columns at a time; the others over an inverted index."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    some = probe is not None and not probe.all()
+    rows = np.flatnonzero(probe) if some else np.arange(n)
+    owner = np.repeat(np.arange(n), size)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    often = np.bincount(token)
+    common = often >= max(16, n // 16)
+    both = np.zeros((len(rows), n), np.float32)
+    number = np.where(common, np.cumsum(common) - 1, -1)[token]
+    for c in range(0, int(common.sum()), COLUMNS):
+        here = (number >= c) & (number < c + COLUMNS)
+        ones = np.zeros((n, COLUMNS), np.float32)
+        ones[owner[here], number[here] - c] = 1
+        both += ones[rows] @ ones.T
+    few = ~common[token] & (often[token] > 1)
+    token, owner = token[few], owner[few]
+    begin, by = np.searchsorted(owner, np.arange(n + 1)), np.argsort(token, kind="stable")
+    index, listed = token[by], owner[by]
+    label = part.copy()
     out = []
-    for i, own in enumerate(sets):
-        if some and not probe[i]:
-            continue
-        at = np.searchsorted(kinds, own)
-        n = until[at] - first[at]
-        rows = owner[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        both = np.bincount(rows, minlength=len(sets))
-        linked = (both > 0) & (100 * both >= percent * (size + size[i] - both)) & (part != part[i])
+    for r, i in enumerate(rows.tolist()):
+        mine = token[begin[i] : begin[i + 1]]
+        at = np.searchsorted(index, mine)
+        k = np.searchsorted(index, mine, "right") - at
+        met = listed[np.repeat(at - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+        held = both[r] + np.bincount(met, minlength=n)
+        linked = (held > 0) & (100 * held >= percent * (size + size[i] - held)) & (label != label[i])
         if some:
             linked &= ~probe
-        for j in np.flatnonzero(linked).tolist():
-            a, b = root(int(part[i])), root(int(part[j]))
-            if a != b:
-                group[max(a, b)] = min(a, b)
-                out.append((i, j))
+        others = np.flatnonzero(linked)
+        while len(others):
+            out.append((i, int(others[0])))
+            label[label == label[others[0]]] = label[i]
+            others = others[label[others] != label[i]]
     return out
 
 
@@ -429,7 +447,7 @@ def links_in_nodes(members: DataFrame, texts: DataFrame, percent: int, words: in
         if held[0]:
             yield told(*held)
 
-    ordered = members.join(texts.hint("merge"), "rep").select("node", "rep", "part", "probe", "text").repartition("node").sortWithinPartitions("node")
+    ordered = members.join(texts.hint("merge"), "rep").select("node", "rep", "part", "probe", "text").repartition(tasks_of(members), "node").sortWithinPartitions("node")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -474,6 +492,9 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_c
     wanted = members.select("rep") if over is None else members.select("rep").unionByName(over.select("rep"))
     wanted = reps.select("rep", "at.doc_id", "at.text_key").join(wanted.distinct(), "rep", "left_semi")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    again = scratch.write(rows.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "again")
+    if again.limit(1).count():  # rows that come again whole: one of each, before they meet anything
+        texts = texts.dropDuplicates(["doc_id", "text_key"])
     texts = scratch.write(texts.hint("merge").join(wanted, ["doc_id", "text_key"]).select("rep", "text"), "texts")
     sk = reps.select("rep", "sketch")
     pairs = scratch.write(candidate_pairs((members.unionByName(dealt) if dealt is not None else members).join(sk, "rep"), percent), "pairs")
