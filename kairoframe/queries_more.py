@@ -4,6 +4,7 @@ written is read back, and the SQL tells it from the tables alone."""
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -307,11 +308,12 @@ def gen_workloads_any_frequency(p: DataFrame, q: DataFrame) -> DataFrame:
 def _feature_sql() -> str:
     own = lambda name, fixture: ORACLES[name].replace(base(fixture), base("basket"))
     extents = own("extent_bins", "session").replace("round(avg(n_elems), 6)", "avg(n_elems)").replace("round(greatest(0.1, avg", "greatest(0.1, avg").replace("- 1)), 5)", "- 1))")
+    whole = re.sub(r"round\((.*?), 9\) AS", r"\1 AS", ORACLES["qstats"])  # rounded once, at the end
     log = lambda x: f"CASE WHEN {x} > 0 THEN log10({x}) ELSE 0 END"
     space = schema.design_space(["pure", "dict2"])
     codes = ", ".join(f"('{n}', {lo})" for _, n, lo, _ in space)
     ranks = ", ".join(f"rank_{i}" for i in range(9))
-    return f"""WITH su AS ({ORACLES['ostats_summary']}), xb AS ({extents}), eb AS ({own('elem_bins', 'archive')}), qs AS ({ORACLES['qstats']}), enc(config, code) AS (VALUES {codes}),
+    return f"""WITH su AS ({ORACLES['ostats_summary']}), xb AS ({extents}), eb AS ({own('elem_bins', 'archive')}), qs AS ({whole}), enc(config, code) AS (VALUES {codes}),
     fixed AS (SELECT 0 AS place, card_log AS v FROM su UNION ALL SELECT 1, domain_log FROM su
       UNION ALL SELECT 2 + 3 * bin, {log('max_len')} FROM xb UNION ALL SELECT 3 + 3 * bin, {log('avg_elems')} FROM xb UNION ALL SELECT 4 + 3 * bin, {log('dev_elems')} FROM xb
       UNION ALL SELECT 26 + i, coalesce(v, 0) FROM range(12) t(i) LEFT JOIN (SELECT row_number() OVER (ORDER BY bin) - 1 AS i, {log('post_ratio * 100')} AS v FROM eb) USING (i)),
