@@ -130,6 +130,16 @@ def test_presented_and_consistent(spark):
     assert skyline.consistent(r).count() == 1
 
 
+def test_presented_in_one_order(spark):
+    rows = [("c", 1.0), ("a", 1.0), ("b", 1.0), ("d", 2.0), (None, None), ("e", 2.0)]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "config string, cost double").repartition(3)
+        assert [tuple(r) for r in skyline.presented(df, "cost", 5, 0.05).collect()] == [("a", 1.0), ("d", 2.0)]
+    # Many steps that are near the one before do not use up the k.
+    near = spark.createDataFrame([(i, 1.0 + i / 1000) for i in range(60)] + [(60, 9.0)], "config long, cost double")
+    assert [r.config for r in skyline.presented(near, "cost", 2, 0.05).collect()] == [0, 60]
+
+
 def test_segments_and_clusters():
     points = np.array([[0.0], [0.1], [5.0], [5.1], [9.0]])
     assert slices.segment(points, 3)[0] == [0, 0, 1, 1, 2]
