@@ -197,3 +197,43 @@ def test_stored_tables_rewrite_only_what_is_touched(spark, tmp_path):
     assert sorted(r.rec_id for r in t.rows().where("part in (0, 9)").collect()) == sorted([*(i for i in range(0, 40, 4) if i not in (4, 8)), 900, 901])
     t.delete(spark.createDataFrame([(900,)], "rec_id long"))
     assert t.rows().where("part = 9").count() == 0
+
+
+def random_workload(seed):
+    r = random.Random(seed)
+    rows = [(i, (s := r.randint(-50, 900)), s + r.choice([0, 1, 7, 60, 800]), r.sample(range(9), r.randint(1, 5))) for i in range(150)]
+    asks = [(i, (s := r.randint(-90, 990)), s + r.choice([0, 3, 40, 300]), r.sample(range(9), r.randint(1, 3))) for i in range(60)]
+    return rows, asks
+
+
+@pytest.mark.parametrize("small", [0, 16])
+def test_naive_in_windows_compares_what_overlaps(spark, monkeypatch, small):
+    monkeypatch.setattr(query, "SMALL", small)
+    rows, asks = random_workload(small)
+    o, q = objects(spark, rows), queries(spark, asks)
+    found = query.naive_in_windows(explode_objects(o), o, q)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, query.naive(o, q).collect()))
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    assert query.naive_in_windows(explode_objects(o.limit(0)), o.limit(0), q.limit(0)).count() == 0
+
+
+def test_paths_told_in_windows(spark):
+    rows, asks = random_workload(5)
+    o, q = objects(spark, rows), queries(spark, asks)
+    p, elems = explode_objects(o), query.query_elems(q)
+    seen = []
+
+    def path(some, asked):
+        seen.append(some.join(asked, "elem_id").count())
+        return query.core(some, asked)
+
+    pairs = query.naive(o, q).collect()
+    want = 0
+    for r in pairs:
+        want ^= r.rec_id
+    for limit in (1, 500, 10**9):
+        seen.clear()
+        assert query.told_in_windows(p, elems, {"core": path}, limit) == {"core": (len(pairs), want)}
+        assert len(seen) == 1 if limit == 10**9 else len(seen) > 2
+        assert limit != 500 or max(seen) <= 500
+    assert query.told_in_windows(p.limit(0), elems, {"core": path}) == {"core": (0, None)}
